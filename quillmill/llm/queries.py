@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import boilerplate, canonical, confusables, encoding, packing, repetition, splitting
+from quillmill.llm import boilerplate, canonical, confusables, encoding, linking, packing, repetition, splitting
 from quillmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every two rows that name the same person or group."""
+    return linking.same_entity_pairs(linking.entities(table(spark, d, "creators"), table(spark, d, "source_refs")))
+
+
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each entity with its number of rows."""
+    return linking.entities(table(spark, d, "creators"), table(spark, d, "source_refs")).groupBy("entity").agg(F.count("*").alias("rows"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Values that hold stand-in characters."""
     return confusables.stand_ins(confusables.title_values(table(spark, d, "source_refs"), table(spark, d, "extracted_refs")))

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.session import cut
+
 #: Look-alike letters and their Latin prototypes (fixed values): Cyrillic, Greek, others.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝѵӏ", "ABESIJKMHOPCTYXaesijopcyxdhqwvl", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοικρυχϳ", "ABEZHIKMNOPTYXvoikpuxj", strict=True))
@@ -253,7 +255,8 @@ def word_groups(words: DataFrame) -> DataFrame:
 
 def stand_ins(values: DataFrame) -> DataFrame:
     """``(field, row_id)`` of every value that holds a stand-in, from ``(field, row_id, value)``."""
-    seen = examine(values.filter(F.col("value").isNotNull()))
+    # Examined once: the result, which holds no whole texts, is read four times below.
+    seen = cut(examine(values.filter(F.col("value").isNotNull())))
     words = seen.select("field", "row_id", "direct", F.explode("words").alias("word"))
     groups = word_groups(words.select("word"))
     digits = F.col("word").rlike("[0-9]")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import boilerplate, canonical, confusables, encoding, linking, packing, repetition, splitting
+from quillmill.llm import boilerplate, canonical, confusables, encoding, linking, matching, packing, repetition, splitting
 from quillmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,16 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return confusables.consistent_forms(confusables.title_values(table(spark, d, "source_refs"), table(spark, d, "extracted_refs")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a source entry and an extracted entry of the same work."""
+    return matching.matches(table(spark, d, "source_refs"), table(spark, d, "extracted_refs"), with_confidence=False).select("ref_id", "ext_id")
+
+
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a confidence."""
+    return matching.matches(table(spark, d, "source_refs"), table(spark, d, "extracted_refs"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that come out in more than one piece."""
     cuts = splitting.split_oversized(table(spark, d, "search_chunks"), ["chunk_id"], with_text=False)

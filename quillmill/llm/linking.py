@@ -178,7 +178,7 @@ def anchor_links(anchors: DataFrame, least_similarity: float = 0.75) -> DataFram
     best = cut(best)
     for _ in range(3):
         nxt = best.select(F.col("anchor").alias("target"), F.col("target").alias("further"))
-        best = best.join(nxt, "target", "left").select("anchor", F.coalesce("further", "target").alias("target"))
+        best = cut(best.join(nxt, "target", "left").select("anchor", F.coalesce("further", "target").alias("target")))
     return best
 
 
@@ -259,40 +259,41 @@ def _assign_orgs(forms: list[tuple[str, list[str], int]]) -> list[str]:
 def entities(creators: DataFrame, source_refs: DataFrame) -> DataFrame:
     """``(row_id, entity)`` of every row with a name."""
     names = typed_names(creators, source_refs)
-    rows = cut(parse_names(names, *common_words(names)))
-    # Everything from here on is over distinct forms.
-    forms = rows.groupBy("org", "anchor", "kind", "rest").agg(F.count("*").alias("n"))
+    rows = cut(parse_names(names, *common_words(names)).withColumn("form", F.xxhash64("org", "anchor", "kind", F.array_join("rest", "\x1f"))))
+    # Everything from here on is over distinct forms, and only their numbers go back to the rows.
+    forms = cut(rows.groupBy("form").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("org", "anchor", "kind", "rest"))))
     links = anchor_links(cut(forms.groupBy("anchor").agg(F.sum("n").alias("n"))))
-    linked = forms.join(links, "anchor", "left").withColumn("home", F.coalesce("target", "anchor"))
-    combos = linked.groupBy("org", "home", "kind", "rest").agg(F.sum("n").alias("n"))
+    combos = forms.join(links, "anchor", "left").select("form", "n", "org", F.coalesce("target", "anchor").alias("home"), "kind", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key: tuple, forms: list) -> pa.RecordBatch:
-            got = assign(forms, key[0])
-            k = len(forms)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * k, pa.bool_()), pa.array([key[1]] * k, pa.string()), pa.array([f[0] for f in forms], pa.string()), pa.array([f[1] for f in forms], pa.list_(pa.string())), pa.array([f"{key[1]}|{g}" for g in got], pa.string())], names=["org", "home", "kind", "rest", "entity"])
-
+        def out(key: tuple, forms: list) -> None:
+            merged: dict[tuple, int] = {}
+            for _, kind, rest, n in forms:
+                merged[kind, tuple(rest)] = merged.get((kind, tuple(rest)), 0) + n
+            plain = [(kind, list(rest), n) for (kind, rest), n in merged.items()]
+            of = dict(zip(merged, assign(plain, key[0]), strict=True))
+            ids.extend(f[0] for f in forms)
+            names_.extend(f"{key[0]}|{key[1]}|{of[f[1], tuple(f[2])]}" for f in forms)
+
+        ids: list[int] = []
+        names_: list[str] = []
         held: list = []
         key = None
-        ready: list[pa.RecordBatch] = []
         for b in batches:
-            for org, home, kind, rest, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for form, n, org, home, kind, rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != (org, home):
                     if held:
-                        ready.append(out(key, held))
-                        if len(ready) == 2000:
-                            yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
-                            ready = []
+                        out(key, held)
                     key, held = (org, home), []
-                held.append((kind, rest, n))
+                held.append((form, kind, rest, n))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names_, pa.string())], names=["form", "name"])
+            ids, names_ = [], []
         if held:
-            ready.append(out(key, held))
-        if ready:
-            yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
+            out(key, held)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names_, pa.string())], names=["form", "name"])
 
-    resolved = combos.repartition("org", "home").sortWithinPartitions("org", "home").select("org", "home", "kind", "rest", "n").mapInArrow(run, "org boolean, home string, kind string, rest array<string>, entity string")
-    by_form = linked.join(resolved, ["org", "home", "kind", "rest"]).select("org", "anchor", "kind", "rest", F.xxhash64("org", "entity").alias("entity"))
-    return rows.join(by_form, ["org", "anchor", "kind", "rest"]).select("row_id", "entity")
+    resolved = combos.repartition("org", "home").sortWithinPartitions("org", "home").mapInArrow(run, "form bigint, name string").select("form", F.xxhash64("name").alias("entity"))
+    return rows.select("row_id", "form").join(resolved, "form").select("row_id", "entity")
 
 
 def same_entity_pairs(members: DataFrame, id_col: str = "row_id", key_col: str = "entity") -> DataFrame:

@@ -15,16 +15,18 @@ Names of any length are read whole.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.names import FORMAL, KINDS, PARTICLES, TITLES, Vocabulary, one_edit, parse
-from quillmill.session import cut
+from quillmill.session import cut, written
 
 #: Rarity of q-grams is counted by hash, in so many cells; this bounds what is sent to the workers.
 GRAM_CELLS = 1 << 17
@@ -60,12 +62,25 @@ def common_words(names: DataFrame, least: int = 4) -> tuple[dict[str, int], dict
     return everything, given
 
 
+_VOCABULARIES: dict[str, tuple[Vocabulary, Vocabulary, Vocabulary]] = {}
+
+
+def _vocabularies(digest: str, everything: dict[str, int], given: dict[str, int]) -> tuple[Vocabulary, Vocabulary, Vocabulary]:
+    """Given names, kinds and all words, built once in each worker."""
+    if digest not in _VOCABULARIES:
+        _VOCABULARIES.clear()
+        _VOCABULARIES[digest] = Vocabulary(given | {w: given.get(w, 1) for w in FORMAL}, frozenset(FORMAL)), Vocabulary(dict.fromkeys(KINDS, 1)), Vocabulary(everything)
+    return _VOCABULARIES[digest]
+
+
 def parse_names(names: DataFrame, everything: dict[str, int], given: dict[str, int]) -> DataFrame:
     """``(row_id, org, anchor, kind, rest)``: errors in given names, kinds and topics are corrected by the vocabularies."""
 
+    digest = hashlib.sha256(repr((sorted(everything.items()), sorted(given.items()))).encode()).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary(given | {w: given.get(w, 1) for w in FORMAL}, frozenset(FORMAL))
-        kinds, words = Vocabulary(dict.fromkeys(KINDS, 1)), Vocabulary(everything)
+        known, kinds, words = _vocabularies(digest, everything, given)
+        read = lru_cache(maxsize=50_000)(lambda last, first, single: parse(last, first, single, known))
 
         def person_part(t: str) -> str:
             if t.endswith("."):
@@ -77,7 +92,7 @@ def parse_names(names: DataFrame, everything: dict[str, int], given: dict[str, i
         for b in batches:
             ids, org, anchor, kind, rest = [], [], [], [], []
             for row_id, last, first, single in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n = parse(last, first, single, known)
+                n = read(last, first, single)
                 if n is None:
                     continue
                 ids.append(row_id)
@@ -257,11 +272,12 @@ def _assign_orgs(forms: list[tuple[str, list[str], int]]) -> list[str]:
 
 
 def entities(creators: DataFrame, source_refs: DataFrame) -> DataFrame:
-    """``(row_id, entity)`` of every row with a name."""
+    """``(row_id, entity, size)`` of every row with a name; ``size``: rows of the entity."""
     names = typed_names(creators, source_refs)
-    rows = cut(parse_names(names, *common_words(names)).withColumn("form", F.xxhash64("org", "anchor", "kind", F.array_join("rest", "\x1f"))))
+    parsed = parse_names(names, *common_words(names)).withColumn("rest", F.array_join("rest", "\x1f"))
+    rows = written(parsed.withColumn("form", F.xxhash64("org", "anchor", "kind", "rest")))
     # Everything from here on is over distinct forms, and only their numbers go back to the rows.
-    forms = cut(rows.groupBy("form").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("org", "anchor", "kind", "rest"))))
+    forms = cut(rows.groupBy("form", "org", "anchor", "kind", "rest").agg(F.count("*").alias("n")))
     links = anchor_links(cut(forms.groupBy("anchor").agg(F.sum("n").alias("n"))))
     combos = forms.join(links, "anchor", "left").select("form", "n", "org", F.coalesce("target", "anchor").alias("home"), "kind", "rest")
 
@@ -269,14 +285,24 @@ def entities(creators: DataFrame, source_refs: DataFrame) -> DataFrame:
         def out(key: tuple, forms: list) -> None:
             merged: dict[tuple, int] = {}
             for _, kind, rest, n in forms:
-                merged[kind, tuple(rest)] = merged.get((kind, tuple(rest)), 0) + n
-            plain = [(kind, list(rest), n) for (kind, rest), n in merged.items()]
-            of = dict(zip(merged, assign(plain, key[0]), strict=True))
-            ids.extend(f[0] for f in forms)
-            names_.extend(f"{key[0]}|{key[1]}|{of[f[1], tuple(f[2])]}" for f in forms)
+                merged[kind, rest] = merged.get((kind, rest), 0) + n
+            named = assign([(kind, rest.split("\x1f") if rest else [], n) for (kind, rest), n in merged.items()], key[0])
+            of = dict(zip(merged, named, strict=True))
+            sizes: Counter = Counter()
+            for k, n in merged.items():
+                sizes[of[k]] += n
+            for form, kind, rest, _ in forms:
+                name = of[kind, rest]
+                ids.append(form)
+                names_.append(f"{key[0]}|{key[1]}|{name}")
+                totals.append(sizes[name])
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names_, pa.string()), pa.array(totals, pa.int64())], names=["form", "name", "size"])
 
         ids: list[int] = []
         names_: list[str] = []
+        totals: list[int] = []
         held: list = []
         key = None
         for b in batches:
@@ -286,25 +312,26 @@ def entities(creators: DataFrame, source_refs: DataFrame) -> DataFrame:
                         out(key, held)
                     key, held = (org, home), []
                 held.append((form, kind, rest, n))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names_, pa.string())], names=["form", "name"])
-            ids, names_ = [], []
+            yield batch()
+            ids, names_, totals = [], [], []
         if held:
             out(key, held)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names_, pa.string())], names=["form", "name"])
+        yield batch()
 
-    resolved = combos.repartition("org", "home").sortWithinPartitions("org", "home").mapInArrow(run, "form bigint, name string").select("form", F.xxhash64("name").alias("entity"))
-    return rows.select("row_id", "form").join(resolved, "form").select("row_id", "entity")
+    resolved = combos.repartition("org", "home").sortWithinPartitions("org", "home").mapInArrow(run, "form bigint, name string, size bigint").select("form", F.xxhash64("name").alias("entity"), "size")
+    return rows.select("row_id", "form").join(resolved, "form").select("row_id", "entity", "size")
 
 
-def same_entity_pairs(members: DataFrame, id_col: str = "row_id", key_col: str = "entity") -> DataFrame:
-    """``(id_a, id_b)`` of every two rows of one entity.
+def same_entity_pairs(members: DataFrame, id_col: str = "row_id", key_col: str = "entity", size_col: str = "size") -> DataFrame:
+    """``(id_a, id_b)`` of every two rows of one entity, whose number of rows is in ``size_col``.
 
-    A large entity is cut into blocks of about ``BLOCK`` rows, and each pair of blocks is a group of its own, so that
-    no task holds more than two blocks of one entity.
+    Up to ``BLOCK`` rows are paired in one list. A larger entity is cut into blocks of about ``BLOCK`` rows, and each
+    pair of blocks is a group of its own, so that no task holds more than two blocks of one entity.
     """
-    rows = members.select(F.col(key_col).alias("key"), F.col(id_col).alias("id"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    cells = cut(rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    rows = members.filter(F.col(size_col) > 1).select(F.col(key_col).alias("key"), F.col(id_col).alias("id"), F.col(size_col).alias("size"))
+    few = rows.filter(F.col("size") <= BLOCK).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    pairs = few.select(F.posexplode("ids").alias("i", "id_a"), "ids").select("id_a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("id_b"))
+    cells = rows.filter(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = cells.select("key", F.col("id").alias("a"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     right = cells.select("key", F.col("id").alias("b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    return left.join(right, ["key", "i", "j"]).filter("a < b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    return pairs.unionByName(left.join(right, ["key", "i", "j"]).filter("a < b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b")))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata as ud
 from dataclasses import dataclass
 
-import regex
-
 #: Letters without a decomposition and their plain spelling (fixed values).
 PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "ŧ": "t", "ħ": "h"})
 #: English short forms by formal name (fixed values).
@@ -34,7 +33,9 @@ SUFFIXES = frozenset("jr sr phd md ed eds ii iii iv esq msc".split())
 #: Kinds of organisations (fixed values); short forms are prefixes of them.
 KINDS = ("academy", "agency", "association", "bureau", "center", "centre", "college", "committee", "consortium", "council", "department", "foundation", "group", "institute", "laboratory", "ministry", "network", "observatory", "office", "society", "university")
 SMALL_WORDS = frozenset("of for the and in on at".split())
-TOKEN = regex.compile(r"[\p{L}\p{M}'’]+\.?")
+#: Particles that lost the space after them.
+RUN_ON = re.compile("(?:(?:Dela|Vander|Van|Von|Al|Ten|De|Der|Den|La)(?=[^\\W\\d_a-zà-öø-ÿ]))+(?=[^\\W\\d_a-zà-öø-ÿ][^\\W\\d_A-ZÀ-ÖØ-Þ])")
+TOKEN = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f'’])*\\.?")
 
 
 def fold(text: str) -> str:
@@ -142,7 +143,7 @@ def looks_like_organisation(text: str, words: list[str], bare: list[str]) -> boo
 
 
 def _organisation(text: str) -> Name:
-    text = regex.sub(r"\([^)]*\)", " ", text)
+    text = re.sub(r"\([^)]*\)", " ", text)
     head, _, tail = text.partition(",")
     words = [w for w in _raw_tokens(f"{tail} {head}") if fold(w).rstrip(".") not in SMALL_WORDS]
     toks = [fold(w) for w in words]
@@ -181,7 +182,7 @@ def _person(last: str, first: str, single: str, given: Vocabulary) -> Name | Non
             else:
                 if b == "al" and w == "Al":
                     doubtful.append("al")
-                m = regex.match(r"(?:(?:Dela|Vander|Van|Von|Al|Ten|De|Der|Den|La)(?=\p{Lu}))+(?=\p{Lu}\p{Ll})", w)
+                m = RUN_ON.match(w) if len(w) > 5 and w[0] in "DVAT" else None
                 out.append(fold(w[m.end() :]) if m else f)
         return out
 

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import boilerplate, canonical, confusables, encoding, linking, matching, packing, repetition, splitting
-from quillmill.session import table
+from quillmill.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every two rows that name the same person or group."""
-    return linking.same_entity_pairs(linking.entities(table(spark, d, "creators"), table(spark, d, "source_refs")))
+    # Both branches of the pairing read the entities, so they are kept.
+    return linking.same_entity_pairs(cut(linking.entities(table(spark, d, "creators"), table(spark, d, "source_refs"))))
 
 
 def p1_entities(spark: SparkSession, d: str) -> DataFrame:

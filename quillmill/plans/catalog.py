@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from quillmill.plans import documents, records, relational, search
 
 FLAGSHIP = "run_latest"
+_PARTS = (documents, records, relational, search)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict:
+    """Query name -> (spark, folder) -> DataFrame."""
+    return {name: f for part in _PARTS for name, (f, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Query name -> DuckDB SQL over the same tables."""
+    return {name: sql for part in _PARTS for name, (_, sql) in part.QUERIES.items() if sql}

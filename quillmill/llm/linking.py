@@ -167,14 +167,18 @@ def anchor_links(anchors: DataFrame, least_similarity: float = 0.75) -> DataFram
     total = sum(order) or 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(f"{q}{g}", a, n) for a, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(a) > 3 for q, grams in gram_classes(a) for g in prefix(grams, q, order)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["gram", "a", "n"])
+        import xxhash
 
-    sent = anchors.select("anchor", "n").mapInArrow(send, "gram string, a string, n bigint")
-    far = sent.select("gram", F.col("a").alias("b"), F.col("n").alias("m"))
-    upward = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") > F.col("a")))
-    pairs = sent.join(far, "gram").filter(upward & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 2) >= 0)).select("a", "n", "b", "m").distinct()
+        for b in batches:
+            rows = [(xxhash.xxh64_intdigest(f"{q}{g}") >> 1, a, n) for a, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(a) > 3 for q, grams in gram_classes(a) for g in prefix(grams, q, order)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["gram", "a", "n"])
+
+    # Both sides of the join are the same frame under the same names, so that it is made and shuffled once.
+    sent = anchors.select("anchor", "n").mapInArrow(send, "gram bigint, a string, n bigint")
+    near, far = sent.alias("near"), sent.alias("far")
+    a, n, b, m = F.col("near.a"), F.col("near.n"), F.col("far.a"), F.col("far.n")
+    upward = (m > n) | ((m == n) & (b > a))
+    pairs = near.join(far, F.col("near.gram") == F.col("far.gram")).filter(upward & (F.abs(F.length(a) - F.length(b)) <= 1) & (F.levenshtein(a, b, 2) >= 0)).select(a.alias("a"), n.alias("n"), b.alias("b"), m.alias("m")).distinct()
     # A particle run together with the surname, where the surname alone is there too.
     bare = anchors.select(F.col("anchor").alias("a"), "n", F.regexp_extract("anchor", f"^(?:{'|'.join(sorted(JOINED, key=len, reverse=True))})(.{{4,}})$", 1).alias("b")).filter("b <> ''")
     bare = bare.join(anchors.select(F.col("anchor").alias("b"), F.col("n").alias("m")), "b").filter("m >= n").select(F.col("a").alias("anchor"), F.col("b").alias("target"), "m")

@@ -32,6 +32,7 @@ CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝ
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοικρυχϳ", "ABEZHIKMNOPTYXvoikpuxj", strict=True))
 OTHER = dict(zip("ıȷɑɡɩʋοℓօսոհցոզյ", "ijagivolounhgnqj", strict=True))
 LETTERS = OTHER | GREEK | CYRILLIC
+LATIN_ALIKE = frozenset(CYRILLIC.values())
 #: Greek letters that stand in for Latin ones only inside Latin words; alone they are symbols.
 TWO_SYMBOLS = set("νικρυχ")
 HYPHENS = set("‐‑‒⁃﹣－˗➖﹘")
@@ -198,14 +199,23 @@ def consistent(text: str | None) -> str | None:
             out.append(POINTS.get(ch, ch))
     text = ud.normalize("NFC", "".join(out))
 
+    def sure_letters(t: str) -> Counter:
+        return Counter(s for ch in t for s, p in SCRIPTS if p.match(ch) and ch not in LETTERS and not (s == "latin" and ch in LATIN_ALIKE))
+
+    whole: list[Counter] = []
+
     def one_script(m) -> str:
         w = m.group()
         c = script_counts(w)
         if len(c) < 2:
             return w
-        # The script of the letters that have no look-alike decides.
-        sure = Counter(s for ch in w for s, p in SCRIPTS if p.match(ch) and ch not in LETTERS and not (s == "latin" and ch in CYRILLIC.values()))
-        main = max(c, key=lambda s: (sure[s], c[s], s == "latin"))
+        # The script of the letters that have no look-alike decides, in the word or else in the whole text.
+        sure = sure_letters(w)
+        if not sure:
+            if not whole:
+                whole.append(sure_letters(text))
+            sure = whole[0]
+        main = max(c, key=lambda s: (sure[s], s == "latin", c[s]))
         if main == "latin":
             return "".join(LETTERS.get(ch, ch) for ch in w)
         back = {v: k for k, v in (CYRILLIC if main == "cyrillic" else GREEK).items()}

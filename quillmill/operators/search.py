@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as X
 from quillmill.functions import vectors as V
-from quillmill.session import batch_udf
+from quillmill.session import batch_udf, cut
 
 #: Fusion constant, window and overlap in words, least new words of a snapped window, snippet words.
 RRF_K, WINDOW, OVERLAP, SNAP, SNIPPET = 60, 200, 40, 80, 30
@@ -95,6 +95,87 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str
     return x.groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
+def _blocks(queries: DataFrame, columns: list[str], size: int = QUERY_BLOCK) -> Iterator[list]:
+    """The queries in blocks, read to the driver one block at a time."""
+    block: list = []
+    for r in queries.select(*columns).orderBy(columns[0]).toLocalIterator():
+        block.append(r)
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", text: str = "text", k1: float = K1, b: float = B, digits: int = 9) -> DataFrame:
+    """``(query_id, key, score, rank)``: the exact k best of ``bm25`` for many queries.
+
+    The queries go to every task in blocks of ``QUERY_BLOCK``, as a term-by-query matrix; each task multiplies its
+    chunks' term weights with it and keeps k candidates a query, and only those are shuffled. Scores are rounded to
+    ``digits``, so that ties do not depend on the order of sums; equal scores go by key.
+    """
+    import numpy as np
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    sized = chunks.select(key, X.fts_terms(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
+    arrow = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(chunks.schema[key].dataType)
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(chunks.dtypes)[key]}, score double"
+    n, avg_len = sized.agg(F.count("*"), F.avg(F.size("ts"))).first()
+    terms = queries.select(F.explode(X.fts_terms("query")).alias("term")).distinct()
+    frequencies = cut(sized.select(F.explode(F.array_distinct("ts")).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")))
+    parts = []
+    for block in _blocks(queries.select("query_id", F.array_distinct(X.fts_terms("query")).alias("ts")).filter(F.size("ts") > 0), ["query_id", "ts"]):
+        mine = sorted({t for r in block for t in r.ts})
+        df = {r.term: r.df for r in frequencies.join(F.broadcast(frequencies.sparkSession.createDataFrame([(t,) for t in mine], "term string")), "term").collect()}
+        column = {t: i for i, t in enumerate(df)}
+        ids = [r.query_id for r in block]
+        weight = np.zeros((len(column), len(ids)))
+        for j, r in enumerate(block):
+            for t in r.ts:
+                if t in column:
+                    weight[column[t], j] = np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
+
+        def run(batches: Iterator[pa.RecordBatch], column=column, ids=ids, weight=weight) -> Iterator[pa.RecordBatch]:
+            best: list[pd.DataFrame] = []
+
+            def least(parts: list[pd.DataFrame]) -> pd.DataFrame:
+                return pd.concat(parts).sort_values(["q", "score", "key"], ascending=[True, False, True]).groupby("q").head(k)
+
+            for big in batches:
+                for lo in range(0, big.num_rows, 256):
+                    batch = big.slice(lo, 256)
+                    keys = np.array(batch.column(0).to_pylist())
+                    m = np.zeros((batch.num_rows, len(column)))
+                    for i, ts in enumerate(batch.column(1).to_pylist()):
+                        at = [c for t in ts if (c := column.get(t)) is not None]
+                        np.add.at(m[i], at, 1.0)
+                        hit = m[i].nonzero()[0]
+                        m[i, hit] = m[i, hit] * (k1 + 1) / (m[i, hit] + k1 * (1 - b + b * len(ts) / avg_len))
+                    used = m.any(0)
+                    s = np.round(m[:, used] @ weight[used], digits)
+                    # Rows of each query that may be among its k best here.
+                    if len(keys) > k:
+                        floor = np.partition(s, len(keys) - k, axis=0)[len(keys) - k]
+                        row, q = np.nonzero((s >= floor) & (s > 0))
+                    else:
+                        row, q = np.nonzero(s > 0)
+                    best.append(pd.DataFrame({"q": q, "key": keys[row], "score": s[row, q]}))
+                    if len(best) > 16:
+                        best = [least(best)]
+            if best:
+                d = least(best)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in d.q], arrow[0]), pa.array(d.key.to_numpy()).cast(arrow[1]), pa.array(d.score.to_numpy(), pa.float64())], names=["query_id", key, "score"])
+
+        if column and k > 0:
+            parts.append(sized.mapInArrow(run, schema))
+    if not parts:
+        parts.append(sized.limit(0).mapInArrow(lambda b: iter(()), schema))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return top_k(out, k, key)
+
+
 def top_k(scored: DataFrame, k: int, key: str, by: str = "score", partition: str = "query_id") -> DataFrame:
     """The k best of each query, equal scores by key, with ``rank`` from 1. Catalyst prunes each partition to k before the shuffle."""
     w = Window.partitionBy(partition).orderBy(F.desc(by), F.asc(key))
@@ -109,7 +190,9 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "ve
     """
     import numpy as np
 
-    dim = None
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow = to_arrow_type(queries.schema[query_key].dataType), to_arrow_type(vectors.schema[key].dataType)
     parts = []
     rows = queries.select(query_key, query_vec).orderBy(query_key).toLocalIterator()
     block: list = []
@@ -134,13 +217,12 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "ve
                     best = [pd.concat(best).sort_values(["q", "score", "key"], ascending=[True, False, True]).groupby("q").head(k)]
             if best:
                 d = pd.concat(best).sort_values(["q", "score", "key"], ascending=[True, False, True]).groupby("q").head(k)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in d.q]), pa.array(d.key.to_numpy()), pa.array(d.score.to_numpy())], names=[query_key, key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in d.q], arrow[0]), pa.array(d.key.to_numpy()).cast(arrow[1]), pa.array(d.score.to_numpy(), pa.float64())], names=[query_key, key, "score"])
 
         kinds = dict(queries.dtypes)[query_key], dict(vectors.dtypes)[key]
         return vectors.select(key, vec).mapInArrow(run, f"{query_key} {kinds[0]}, {key} {kinds[1]}, score double")
 
     for r in rows:
-        dim = dim or len(r[1])
         block.append(r)
         if len(block) == QUERY_BLOCK:
             parts.append(search(block))
@@ -168,7 +250,7 @@ def reciprocal_rank_fusion(lists: list[tuple[float, DataFrame]], key: str, k_con
 def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int, alpha: float = 0.5, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """Lexical and hashed-vector search fused; ``alpha`` is the vectors' weight. k = 0 gives nothing."""
     depth = max(4 * k, 50)
-    lexical = top_k(bm25(chunks, queries, key, text), depth, key)
+    lexical = bm25_top_k(chunks, queries, depth, key, text)
     vectors = chunks.select(key, V.hash_embedding(F.coalesce(F.col(text), F.lit(""))).alias("embedding"))
     semantic = vector_search(vectors, queries.select("query_id", V.hash_embedding("query").alias("query_vec")), depth, key, "embedding")
     fused = reciprocal_rank_fusion([(1 - alpha, lexical), (alpha, semantic)], key)

@@ -26,7 +26,7 @@ def latex_to_text(tex: str) -> str:
 
     t = strip_comments(tex)
     t = re.sub(r"\\([`'^\"~=.uvHckr])\s*(?:\{\s*\\?([a-zA-Z])\s*\}|\\?([a-zA-Z]))", lambda m: (m[2] or m[3]) + _ACCENTS[m[1]] if m[1] in "`'^\"~=." or m[2] else m[0], t)
-    t = re.sub(r"\\([a-zA-Z]+|[&%_#$])(?:\s*\{\})?", lambda m: _SYMBOLS.get(m[1], " " if m[1] in ("newblock", "par", "quad", "linebreak", "newline", "bibinfo") else ""), t)
+    t = re.sub(r"\\(?:([a-zA-Z]+)(?:\s*\{\}|\s+)?|([&%_#$]))", lambda m: _SYMBOLS.get(m[1] or m[2], " " if m[1] in ("newblock", "par", "quad", "linebreak", "newline", "bibinfo") else ""), t)
     t = t.replace("~", " ").replace("``", "“").replace("''", "”").replace("---", "—").replace("--", "–").replace("\\\\", " ").replace("\\", "")
     return " ".join(unicodedata.normalize("NFC", re.sub(r"[{}$]", "", t)).split())
 
@@ -109,7 +109,7 @@ def cited_keys(tex: Column) -> Column:
     """Keys of all citation commands, in order, with repeats; comments do not count."""
     clean = F.regexp_replace(tex, r"(?<!\\)%[^\n]*", "")
     groups = F.regexp_extract_all(clean, F.lit(r"\\(?:no|paren|text|foot|auto|full)?[cC]ite(?:p|t|alp|alt|author|year|yearpar|num)?\*?\s*(?:\[[^\]]*\]\s*){0,2}\{([^}]*)\}"), F.lit(1))
-    return F.filter(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), F.trim), lambda k: (k != "") & (k != "*"))
+    return F.filter(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), lambda t: F.trim(t)), lambda k: (k != "") & (k != "*"))
 
 
 def body_text(main: Column) -> Column:

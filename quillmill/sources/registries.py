@@ -44,7 +44,7 @@ def requires_session(url: Column, open_license: Column) -> Column:
 
 
 def _parsed(df: DataFrame, schema: str, body: str) -> DataFrame:
-    return df.select(F.from_json(body, schema, {"mode": "PERMISSIVE"}).alias("j"))
+    return df.select(F.from_json(body, f"struct<{schema}>", {"mode": "PERMISSIVE"}).alias("j"))
 
 
 def openalex(df: DataFrame, body: str = "body") -> DataFrame:
@@ -78,14 +78,14 @@ def semantic_scholar(df: DataFrame, body: str = "body") -> DataFrame:
 def europe_pmc(df: DataFrame, body: str = "body") -> DataFrame:
     item = "id:string,pmid:string,pmcid:string,doi:string,title:string,authorString:string,journalTitle:string,pubYear:string,abstractText:string"
     j = _parsed(df, f"resultList:struct<result:array<struct<{item}>>>", body).select(F.explode("j.resultList.result").alias("w"))
-    return j.select(*record(title=F.regexp_replace(strip_tags(F.col("w.title")), r"\.$", ""), authors=F.transform(F.split(F.regexp_replace("w.authorString", r"\.$", ""), r",\s*"), F.trim), year=year_of(F.col("w.pubYear")), venue=F.col("w.journalTitle"), doi=I.normalize_doi("w.doi"), source="pmc", source_id=F.col("w.id"), pmid=I.normalize_pmid("w.pmid"), pmcid=I.normalize_pmcid("w.pmcid"), abstract_text=strip_tags(F.col("w.abstractText"))))
+    return j.select(*record(title=F.regexp_replace(strip_tags(F.col("w.title")), r"\.$", ""), authors=F.transform(F.split(F.regexp_replace("w.authorString", r"\.$", ""), r",\s*"), lambda t: F.trim(t)), year=year_of(F.col("w.pubYear")), venue=F.col("w.journalTitle"), doi=I.normalize_doi("w.doi"), source="pmc", source_id=F.col("w.id"), pmid=I.normalize_pmid("w.pmid"), pmcid=I.normalize_pmcid("w.pmcid"), abstract_text=strip_tags(F.col("w.abstractText"))))
 
 
 def pubmed_summary(df: DataFrame, body: str = "body") -> DataFrame:
     """Summaries keyed by id, in the order of the id list."""
     item = "uid:string,title:string,pubdate:string,fulljournalname:string,authors:array<struct<name:string>>,articleids:array<struct<idtype:string,value:string>>"
-    j = df.select(F.from_json(F.get_json_object(body, "$.result.uids"), "array<string>").alias("ids"), F.from_json(F.get_json_object(body, "$.result"), f"map<string,string>").alias("m"))
-    w = j.select(F.posexplode("ids").alias("pos", "id"), "m").select("pos", "id", F.from_json(F.try_element_at("m", F.col("id")), item).alias("w")).filter("w.uid IS NOT NULL")
+    j = df.select(F.from_json(F.get_json_object(body, "$.result.uids"), "array<string>").alias("ids"), F.from_json(F.get_json_object(body, "$.result"), "map<string,string>").alias("m"))
+    w = j.select(F.posexplode("ids").alias("pos", "id"), "m").select("pos", "id", F.from_json(F.try_element_at("m", F.col("id")), f"struct<{item}>").alias("w")).filter("w.uid IS NOT NULL")
     of = lambda kind: F.get(F.transform(F.filter(F.coalesce("w.articleids", F.array()), lambda a: a["idtype"] == kind), lambda a: a["value"]), F.lit(0))
     return w.select(*record(title=F.regexp_replace(strip_tags(F.col("w.title")), r"\.$", ""), authors=F.transform("w.authors", lambda a: a["name"]), year=year_of(F.col("w.pubdate")), venue=F.col("w.fulljournalname"), doi=I.normalize_doi(of("doi")), source="pmc", source_id=F.col("id"), pmid=I.normalize_pmid(F.col("id")), pmcid=I.normalize_pmcid(of("pmc"))))
 

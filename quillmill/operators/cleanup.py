@@ -142,3 +142,79 @@ def code_runs(lines: DataFrame, doc: str = "doc_hash") -> DataFrame:
 def fold_lines(texts: pd.Series) -> pd.Series:
     """Line ends of any kind as LF."""
     return texts.str.replace("\r\n", "\n", regex=False).str.replace("\r", "\n", regex=False)
+
+
+def merge_scripts(lines: DataFrame, doc: str = "doc_hash") -> DataFrame:
+    """``(doc, page, line_idx, base_idx, text)``: raised or lowered fragments with the base line they belong to and their script form.
+
+    ``lines``: (doc, page, line_idx, text, x0, y0, x1, y1, size). A fragment is shorter than five characters, smaller
+    than its base and overlaps its band; the nearest base to the left wins, then the lower index. The page is the
+    equality key of the join.
+    """
+    b = lines.select(doc, "page", F.col("line_idx").alias("base_idx"), *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1", "size")))
+    x = lines.filter(F.length(F.trim("text")).between(1, 4)).join(b, [doc, "page"])
+    inside = (F.col("line_idx") != F.col("base_idx")) & (F.col("size") < F.col("b_size") * 0.85) & (F.col("y0") < F.col("b_y1")) & (F.col("y1") > F.col("b_y0"))
+    gap = F.least(F.abs(F.col("x0") - F.col("b_x1")), F.when(F.col("x0").between(F.col("b_x0"), F.col("b_x1")), F.lit(0.0)))
+    middle = (F.col("y0") + F.col("y1")) / 2
+    raised = middle > (F.col("b_y0") + F.col("b_y1")) / 2
+    form = F.when(raised, X.script_form("text", True)).otherwise(X.script_form("text", False))
+    x = x.filter(inside).withColumn("gap", gap).filter(F.col("gap") <= F.col("b_size")).withColumn("form", form).filter("form IS NOT NULL")
+    return x.groupBy(doc, "page", "line_idx").agg(F.min_by("base_idx", F.struct("gap", "base_idx")).alias("base_idx"), F.min_by("form", F.struct("gap", "base_idx")).alias("text"))
+
+
+def front_matter(lines: DataFrame, doc: str = "doc_hash", first: int = 60) -> DataFrame:
+    """``(doc, line_idx)`` of the lines of page 1 before the abstract or introduction, up to the first run of three prose lines."""
+    w = Window.partitionBy(doc).orderBy("line_idx")
+    x = lines.filter("page = 1").select(doc, "line_idx", "text", F.col("text").rlike(r"^(?i)\s*(?:abstract\b|(?:1\.?\s+)?introduction\s*$)").alias("stop"), X.is_prose_like("text").alias("prose"))
+    run3 = F.col("prose") & F.coalesce(F.lead("prose", 1).over(w), F.lit(False)) & F.coalesce(F.lead("prose", 2).over(w), F.lit(False))
+    x = x.withColumn("n", F.row_number().over(w)).withColumn("ends", (F.col("stop") & (F.col("n") <= first)) | run3)
+    x = x.withColumn("over", F.max(F.col("ends").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    has = Window.partitionBy(doc)
+    return x.withColumn("any", F.max((F.col("stop") & (F.col("n") <= first)).cast("int")).over(has)).filter("any = 1 AND over = 0").select(doc, "line_idx")
+
+
+def is_title_page(pages: DataFrame, doc: str = "doc_hash") -> DataFrame:
+    """``(doc)`` whose first page is short and has no abstract or introduction line, while the second has an abstract line."""
+    abstract, intro = F.col("text").rlike(r"(?im)^\s*abstract\b"), F.col("text").rlike(r"(?im)^\s*(?:1\.?\s+)?introduction\s*$")
+    p = pages.filter("page <= 2").select(doc, "page", F.size(X.tokens("text")).alias("n"), abstract.alias("a"), intro.alias("i"))
+    return p.groupBy(doc).agg(F.max(F.when(F.col("page") == 1, (F.col("n") < 300) & ~F.col("a") & ~F.col("i"))).alias("first"), F.max(F.when(F.col("page") == 2, F.col("a"))).alias("second")).filter("first AND second").select(doc)
+
+
+def ruled_footnotes(lines: DataFrame, rules: DataFrame, doc: str = "doc_hash") -> DataFrame:
+    """``(doc, page, line_idx)`` of small lines under a short rule at the foot of a page.
+
+    ``lines``: with size, body_size, page_width, page_height; ``rules``: (doc, page, x0, y0, x1, y1).
+    """
+    r = rules.select(doc, "page", F.col("x0").alias("rx0"), F.col("x1").alias("rx1"), F.col("y0").alias("ry0"), F.col("y1").alias("ry1"))
+    x = lines.join(r, [doc, "page"]).filter((F.col("ry1") - F.col("ry0") < 3) & (F.col("rx1") - F.col("rx0")).between(30, F.col("page_width") * 0.6) & (F.col("ry0") <= F.col("page_height") * 0.35) & (F.col("y1") <= F.col("ry0")) & (F.col("x0") < F.col("rx1") + 200) & (F.col("x1") > F.col("rx0")))
+    by = x.groupBy(doc, "page", "rx0", "ry0").agg(F.count("*").alias("n"), F.min((F.col("size") <= F.col("body_size") * 0.92).cast("int")).alias("small"), F.min(F.col("ry0") - F.col("y1")).alias("gap"))
+    good = by.filter("n <= 15 AND small = 1 AND gap <= 24").select(doc, "page", "rx0", "ry0")
+    return x.join(good, [doc, "page", "rx0", "ry0"]).select(doc, "page", "line_idx").distinct()
+
+
+def continued_footnotes(notes: DataFrame, lines: DataFrame, doc: str = "doc_hash") -> DataFrame:
+    """``(doc, page, line_idx)``: the small run at the foot of a page whose predecessor ends inside a footnote.
+
+    ``notes``: footnote lines; ``lines``: with text, size, body_size, y1, page_height.
+    """
+    w = Window.partitionBy(doc, "page").orderBy(F.desc("line_idx"))
+    last = lines.withColumn("k", F.row_number().over(w)).filter("k = 1").join(notes, [doc, "page", "line_idx"], "left_semi")
+    opened = last.filter(~X.ends_sentence("text")).select(doc, (F.col("page") + 1).cast("int").alias("page"))
+    small = (F.col("size") <= F.col("body_size") * 0.92) & (F.col("y1") <= F.col("page_height") * 0.35)
+    x = lines.join(opened, [doc, "page"], "left_semi").withColumn("breaks", F.sum((~small).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.filter("breaks = 0").select(doc, "page", "line_idx").join(notes, [doc, "page", "line_idx"], "left_anti")
+
+
+def biographies(lines: DataFrame, doc: str = "doc_hash") -> DataFrame:
+    """``(doc, page, line_idx)`` of author biographies after the reference list: from a line that opens with a name and a fixed phrase to the end."""
+    from quillmill.operators.citations import HEADING
+
+    w = Window.partitionBy(doc).orderBy("page", "line_idx").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.col("text").rlike(r"^\s*(?:\p{Lu}[\p{L}.'’-]+\s+){1,4}(?:\([^)]*\)\s+)?(?:received|is (?:currently|a|an|the)|was born|obtained|joined)\b")
+    x = lines.withColumn("after", F.max(F.col("text").rlike(HEADING).cast("int")).over(w)).withColumn("bio", F.max((opens & (F.col("after") == 1)).cast("int")).over(w))
+    return x.filter("bio = 1").select(doc, "page", "line_idx")
+
+
+def body_font_size(spans: DataFrame, doc: str = "doc_hash") -> DataFrame:
+    """``(doc, body_size)``: the median size of a document's spans."""
+    return spans.filter("size > 0").groupBy(doc).agg(F.median("size").alias("body_size"))

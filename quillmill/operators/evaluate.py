@@ -175,3 +175,51 @@ def summarize(papers: DataFrame) -> DataFrame:
     """One row of rates as sums of counts, 0 for an empty denominator: (truth, extracted, matched) of each paper."""
     t, e, m = (F.sum(c) for c in ("truth", "extracted", "matched"))
     return papers.agg(F.count("*").alias("papers"), t.alias("truth"), e.alias("extracted"), m.alias("matched"), X.ratio(m, t).alias("recall"), X.ratio(m, e).alias("precision"), F.avg((F.col("truth") == F.col("extracted")).cast("double")).alias("count_exact"))
+
+
+def person_key(name: Column) -> Column:
+    """``surname|initial`` of a printed name, in plain lower case; null without letters."""
+    t = F.trim(F.regexp_replace(name, r"\s+", " "))
+    comma = t.contains(",")
+    last = F.when(comma, F.trim(F.substring_index(t, ",", 1))).otherwise(F.element_at(F.split(t, " "), -1))
+    first = F.when(comma, F.trim(F.substring_index(t, ",", -1))).otherwise(F.element_at(F.split(t, " "), 1))
+    return F.when(t.rlike(r"\p{L}"), F.concat(F.lower(F.regexp_replace(last, r"[^\p{L}-]", "")), F.lit("|"), F.lower(F.substring(F.regexp_replace(first, r"[^\p{L}]", ""), 1, 1))))
+
+
+def author_matches(truth: Column, extracted: Column) -> Column:
+    """Size of the multiset intersection of two author lists' keys."""
+    numbered = lambda xs: F.transform(xs, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(xs, F.lit(1), i), lambda y: y == x)).cast("string")))
+    keys = lambda names: F.filter(F.transform(names, lambda n: person_key(n)), lambda k: k.isNotNull())
+    return F.size(F.array_intersect(numbered(keys(truth)), numbered(keys(extracted))))
+
+
+def title_equal(a: Column, b: Column) -> Column:
+    """Equal normal forms; two unknown titles are equal, one is not."""
+    return F.when(a.isNull() & b.isNull(), F.lit(True)).otherwise(F.coalesce(X.normalize_title(a) == X.normalize_title(b), F.lit(False)))
+
+
+def paper_title_matches(truth: Column, extracted: Column) -> Column:
+    """Equal, or nine tenths of the words shared."""
+    return title_equal(truth, extracted) | F.coalesce(X.jaccard(X.word_set(truth), X.word_set(extracted)) >= 0.9, F.lit(False))
+
+
+def doi_is_printed(doi: Column, squashed: Column) -> Column:
+    """The DOI stands in a text without white space."""
+    return squashed.contains(F.lower(doi))
+
+
+def marker_correctness(markers: DataFrame, matches: DataFrame, cited: DataFrame, doc: str = "doc") -> DataFrame:
+    """``(doc, targets, correct, keys_hit, keys_cited)``, by key and not by occurrence.
+
+    ``markers``: (doc, targets); ``matches``: (doc, e_idx, key); ``cited``: (doc, key).
+    """
+    t = markers.select(doc, F.explode("targets").alias("e_idx")).distinct()
+    keyed = t.join(matches.select(doc, "e_idx", "key"), [doc, "e_idx"], "left")
+    wanted = cited.select(doc, "key").distinct().withColumn("cited", F.lit(1))
+    a = keyed.join(wanted, [doc, "key"], "left").groupBy(doc).agg(F.count_distinct("e_idx").alias("targets"), F.count_distinct(F.when(F.col("cited") == 1, F.col("e_idx"))).alias("correct"), F.count_distinct(F.when(F.col("cited") == 1, F.col("key"))).alias("keys_hit"))
+    return wanted.groupBy(doc).agg(F.count("*").alias("keys_cited")).join(a, doc, "full").select(doc, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("targets", "correct", "keys_hit", "keys_cited")))
+
+
+def duplicate_groups(truth: DataFrame, doc: str = "doc", key: str = "title", identifier: str = "doi") -> DataFrame:
+    """``(doc, key, n)``: entries of one title that at most one identifier tells apart."""
+    return truth.filter(F.col(key).isNotNull()).groupBy(doc, key).agg(F.count("*").alias("n"), F.count_distinct(identifier).alias("ids")).filter("n >= 2 AND ids <= 1").drop("ids")

@@ -157,3 +157,24 @@ def surname(c: Column | str) -> Column:
 def author_year_label(authors: Column, year: Column) -> Column:
     """Label such as Smith2020; null if a part is unknown."""
     return F.concat(F.initcap(surname(F.get(authors, 0))), year.cast("string"))
+
+
+def arxiv_ids_in_text(c: Column | str, most: int = 64) -> Column:
+    """Distinct arXiv ids after their label, in order, at most ``most``."""
+    found = F.regexp_extract_all(col(c), F.lit(rf"(?i)arxiv\s*:\s*({ARXIV})(?:v[0-9]+)?"), F.lit(1))
+    return F.slice(F.array_distinct(F.transform(found, lambda x: F.lower(x))), 1, most)
+
+
+#: Ends of publishers' addresses that are no part of a DOI (fixed values).
+DOI_TAILS = r"(?i)/(?:full|abstract|pdf|epdf|pdfdirect|fulltext|meta|html|summary|references|supplementary)(?:/.*)?$|\.pdf$|\.full(?:\.pdf)?$"
+
+
+def dois_in_url(c: Column | str) -> Column:
+    """DOIs in an address, escapes decoded, publishers' tails cut."""
+    path = F.try_url_decode(F.regexp_replace(col(c), r"[?#].*$", ""))
+    return F.array_distinct(F.transform(all_dois(F.coalesce(path, col(c))), lambda d: F.regexp_replace(d, DOI_TAILS, "")))
+
+
+def list_plausible(labels: Column, years: Column, entries: Column) -> Column:
+    """A list's largest printed label is at most one above its entries, and it has at most 1.5 years an entry and 3 more."""
+    return (F.coalesce(F.array_max(labels), F.lit(0)) <= entries + 1) & (F.size(years) <= entries * 1.5 + 3)

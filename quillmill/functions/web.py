@@ -275,3 +275,18 @@ def pdf_links(html: pd.Series, base: pd.Series) -> pd.Series:
         return list(out.values())
 
     return pd.Series([one(h, b) for h, b in zip(html, base, strict=True)])
+
+
+def inspect_page(url: Column, html: Column) -> Column:
+    """struct(primary_doi, dois, arxiv_ids, pdfs) of a page: declared DOIs first, then those of its address and text."""
+    from quillmill.functions.identifiers import all_dois, arxiv_ids_in_text, dois_in_url
+
+    tags, text = html_tags(html), html_text(html)
+    declared, in_url = declared_dois(tags), dois_in_url(url)
+    dois = F.array_distinct(F.concat(declared, in_url, all_dois(text)))
+    return F.struct(F.coalesce(F.get(declared, F.lit(0)), F.get(in_url, F.lit(0))).alias("primary_doi"), dois.alias("dois"), arxiv_ids_in_text(text).alias("arxiv_ids"), pdf_links(html, url).alias("pdfs"))
+
+
+def live_cookies(cookies: Column, now: Column) -> Column:
+    """Cookies that have not expired; 0 means for the session."""
+    return F.filter(cookies, lambda c: (c["expires"] == 0) | (c["expires"] > now))

@@ -85,17 +85,19 @@ def publish(new: DataFrame, path: str, key: str = "run_key", partition: str = "h
     The table is partitioned by ``partition``; only partitions that receive rows are rewritten.
     """
     spark = new.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(there):
         new.write.partitionBy(partition).parquet(path)
         return
+    # The schema is given, since a table may hold no rows yet.
+    old = spark.read.schema(new.schema).parquet(path)
     touched = new.select(partition).distinct()
     kept = old.join(touched, partition, "left_semi").join(new.select(key).distinct(), key, "left_anti")
-    both = kept.unionByName(new, allowMissingColumns=True)
     staging = f"{path}.staging"
-    both.write.mode("overwrite").partitionBy(partition).parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    kept.unionByName(new).write.mode("overwrite").partitionBy(partition).parquet(staging)
+    spark.read.schema(new.schema).parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging), True)
 
 
 def with_prefix(df: DataFrame, hash_col: str = "hash", digits: int = 2) -> DataFrame:
@@ -135,3 +137,22 @@ def document_context(pages: DataFrame, most: int, doc: str = "doc_hash") -> Data
     """``(doc, context)``: a document's pages in order, cut to ``most`` characters."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "idx", F.coalesce("text", F.lit("")).alias("text")))), lambda x: F.concat(F.lit("[page "), x["page"].cast("string"), F.lit("]\n"), x["text"])), "\n\n")
     return pages.groupBy(doc).agg(F.left(joined, F.lit(most)).alias("context"))
+
+
+def load_result(run: DataFrame, pages: DataFrame, references: DataFrame, markers: DataFrame, key: str = "run_key") -> DataFrame:
+    """A run with its pages, references and markers as sorted arrays; the rows of one run are a bounded group."""
+
+    def nested(d: DataFrame, order: list[str], name: str) -> DataFrame:
+        rest = [c for c in d.columns if c != key and c not in order]
+        return d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
+
+    out = run
+    for d, order, name in ((pages, ["page"], "pages"), (references, ["idx"], "references"), (markers, ["page", "offset"], "markers")):
+        out = out.join(nested(d, order, name), key, "left")
+    return out
+
+
+def update_timings(runs: DataFrame, timings: DataFrame, key: str = "run_key") -> DataFrame:
+    """Runs with the timings of those that have new ones."""
+    new = timings.select(key, F.col("timings").alias("__new"))
+    return runs.join(new, key, "left").withColumn("timings", F.coalesce("__new", "timings")).drop("__new")

@@ -223,3 +223,16 @@ def marker_correctness(markers: DataFrame, matches: DataFrame, cited: DataFrame,
 def duplicate_groups(truth: DataFrame, doc: str = "doc", key: str = "title", identifier: str = "doi") -> DataFrame:
     """``(doc, key, n)``: entries of one title that at most one identifier tells apart."""
     return truth.filter(F.col(key).isNotNull()).groupBy(doc, key).agg(F.count("*").alias("n"), F.count_distinct(identifier).alias("ids")).filter("n >= 2 AND ids <= 1").drop("ids")
+
+
+def body_lines(lines: DataFrame, doc: str = "doc_hash") -> DataFrame:
+    """Lines without captions and mathematics: what word alignment compares. ``lines``: with text and, if known, role."""
+    role = F.col("role") if "role" in lines.columns else F.lit("body")
+    other = role.isin("caption", "figure", "table", "algorithm", "math", "furniture", "toc") | X.caption_kind("text").isNotNull() | X.is_math_heavy("text")
+    return lines.filter(~F.coalesce(other, F.lit(True)))
+
+
+def body_alignment(a: DataFrame, b: DataFrame, doc: str = "doc_hash") -> DataFrame:
+    """``(doc, score)``: word alignment of two texts of each document; one without the other scores 0."""
+    x = a.select(doc, X.alignment_words("text").alias("wa")).join(b.select(doc, X.alignment_words("text").alias("wb")), doc, "full")
+    return x.select(doc, word_alignment(F.col("wa"), F.col("wb")).alias("score"))

@@ -122,15 +122,14 @@ def reference_field_agreement(spark, d):
     return p.agg(F.count("*").alias("n"), F.avg((F.col("volume") == F.col("v")).cast("double")).alias("volume"), F.avg((F.col("year") == F.col("y")).cast("double")).alias("year"), F.avg((X.normalize_title("title") == X.normalize_title("t")).cast("double")).alias("title"))
 
 
-@q("""SELECT doc_hash, chunk_index, min(page) AS first_page, max(page) AS last_page, count(*) AS pages, sha256(string_agg(text, chr(10) || chr(12) || chr(10) ORDER BY page)) AS text_sha256
+@q("""SELECT doc_hash, chunk_index, min(page) AS first_page, max(page) AS last_page, sha256(string_agg(text, chr(10) || chr(12) || chr(10) ORDER BY page)) AS text_sha256
       FROM (SELECT doc_hash, page, (page - 1) // 20 AS chunk_index, string_agg(coalesce(text, ''), chr(10) ORDER BY idx, chunk_id) AS text FROM (SELECT DISTINCT ON (chunk_id) * FROM search_chunks) GROUP BY ALL) GROUP BY doc_hash, chunk_index""")
 def page_chunks(spark, d):
     """Pages in groups of twenty with the digest of their texts."""
     c = table(spark, d, "search_chunks").dropDuplicates(["chunk_id"])
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "chunk_id", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n")
     pages = c.groupBy("doc_hash", "page").agg(ordered.alias("text")).withColumn("warnings", F.array().cast("array<string>"))
-    counts = pages.groupBy("doc_hash", F.floor((F.col("page") - 1) / 20).cast("int").alias("chunk_index")).agg(F.count("*").alias("pages"))
-    return ledger.chunk_results(pages).join(counts, ["doc_hash", "chunk_index"]).select("doc_hash", F.col("chunk_index").cast("bigint").alias("chunk_index"), "first_page", "last_page", "pages", "text_sha256")
+    return ledger.chunk_results(pages).select("doc_hash", F.col("chunk_index").cast("bigint").alias("chunk_index"), "first_page", "last_page", "text_sha256")
 
 
 @q(None)

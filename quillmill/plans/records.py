@@ -170,3 +170,21 @@ def references_by_publisher(spark, d):
     j = table(spark, d, "journals")
     names = j.select("publisher", F.explode(F.array_distinct(F.array("journal", "abbrev"))).alias("venue"))
     return table(spark, d, "extracted_refs").join(names, "venue").groupBy("publisher").agg(F.count("*").alias("refs"), F.count_distinct("run_key").alias("runs"))
+
+
+@q("""SELECT publisher, pmcid, version FROM (SELECT DISTINCT publisher, pmcid, version FROM manifest_items) QUALIFY row_number() OVER (PARTITION BY publisher ORDER BY sha256('7|' || pmcid), pmcid, version) <= 5""")
+def stratified_items(spark, d):
+    """Five manifest items of each publisher."""
+    from quillmill.operators.sampling import stratified
+
+    return stratified(table(spark, d, "manifest_items").select("publisher", "pmcid", "version").distinct(), ["publisher"], "pmcid", 5, "7")
+
+
+@q("""SELECT license_code, count(*) AS items, count(r.hash) AS evaluated, count(*) - count(r.hash) AS missing FROM (SELECT DISTINCT pdf_sha256 AS hash, license_code FROM manifest_items) m LEFT JOIN (SELECT DISTINCT hash FROM runs WHERE status = 'complete') r USING (hash) GROUP BY license_code""")
+def manifest_coverage(spark, d):
+    """How many of the manifest's documents have a complete run, by licence."""
+    from quillmill.operators.sampling import coverage
+
+    m = table(spark, d, "manifest_items").select(F.col("pdf_sha256").alias("hash"), "license_code")
+    done = table(spark, d, "runs").filter("status = 'complete'").select("hash").join(m.select("hash").distinct(), "hash", "left_semi")
+    return coverage(m, done, "hash", "license_code")

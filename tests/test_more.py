@@ -42,3 +42,30 @@ def test_clean_up_details(spark):
     assert [(r.page, r.line_idx) for r in U.continued_footnotes(notes, foot).collect()] == [(2, 1)]
     bio = spark.createDataFrame([("d", 1, 0, "Ann Lee received it"), ("d", 1, 1, "References"), ("d", 1, 2, "[1] x 2001"), ("d", 1, 3, "Ann B. Lee received the degree"), ("d", 1, 4, "in 2001.")], "doc_hash string, page int, line_idx int, text string")
     assert sorted(r.line_idx for r in U.biographies(bio).collect()) == [3, 4]
+
+
+def test_jats(spark):
+    from quillmill.sources import jats
+
+    xml = '<article><ref-list><ref id="r1"><label>1</label><mixed-citation><name><surname>Lee</surname><given-names>A</given-names></name>. <article-title>A <i>big</i> one</article-title>. <source>J X</source> <year>2001a</year>;<volume>3</volume>:<fpage>4</fpage>. <pub-id pub-id-type="doi">10.1000/X</pub-id></mixed-citation></ref><ref id="r2"/></ref-list></article>'
+    got = jats.article_references(xml)
+    assert (got[0]["title"], got[0]["year"], got[0]["authors"], got[0]["doi"]) == ("A big one", 2001, ["A Lee"], "10.1000/x") and got[1]["key"] == "r2"
+    d = spark.createDataFrame([(xml,), ("<broken",), (None,), ('<!DOCTYPE a [<!ENTITY x "y">]><a>&x;</a>',)], "x string")
+    assert [r[0] for r in d.select(F.size(jats.parse_jats(F.col("x")))).collect()] == [2, 0, 0, 0]
+
+
+def test_reports(spark):
+    from quillmill.operators import sampling
+
+    a, b = spark.createDataFrame([("r", 0.9), ("p", 0.8), ("x", 1.0)], "metric string, value double"), spark.createDataFrame([("r", 0.95), ("p", 0.7), ("y", 1.0)], "metric string, value double")
+    assert {r.metric: r.verdict for r in sampling.compare_reports(a, b).collect()} == {"r": "better", "p": "worse", "x": "gone", "y": "new"}
+    rows = spark.range(100).select("id", (F.col("id") % 3).alias("s"))
+    one = sampling.stratified(rows, ["s"], "id", 4)
+    assert one.groupBy("s").count().filter("count = 4").count() == 3 and one.exceptAll(sampling.stratified(rows.orderBy(F.desc("id")), ["s"], "id", 4)).count() == 0
+
+
+def test_body_alignment(spark):
+    d = spark.createDataFrame([("a", "Figure 1: not this"), ("a", "we keep this line"), ("a", "x = y + 1"), ("a", None)], "doc_hash string, text string")
+    assert [r.text for r in E.body_lines(d).collect()] == ["we keep this line"]
+    x, y = spark.createDataFrame([("a", "one two three"), ("b", "word")], "doc_hash string, text string"), spark.createDataFrame([("a", "One, three!")], "doc_hash string, text string")
+    assert {r.doc_hash: r.score for r in E.body_alignment(x, y).collect()} == {"a": 0.8, "b": 0.0}

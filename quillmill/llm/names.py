@@ -203,7 +203,7 @@ def _person(last: str, first: str, single: str, given: Vocabulary) -> Name | Non
         else:
             ts = content(clean(head))
             if not ts:
-                return None
+                return Name(False, tuple(fold(w).rstrip(".") for w in _raw_tokens(single)), ())
             # The surname is the last word that is no given name; one after initials, or before them.
             k = next((i for i in range(len(ts) - 1, -1, -1) if not known(ts[i])), None)
             if k is None:
@@ -236,4 +236,7 @@ def _person(last: str, first: str, single: str, given: Vocabulary) -> Name | Non
             sur, giv = giv[-1:], giv[:-1] + sur
     sur = [t.rstrip(".") for t in sur]
     giv = giv or doubtful
+    if not sur:
+        # Nothing but particles and titles: then they are the name.
+        sur, giv = [fold(w).rstrip(".") for w in _raw_tokens(single or last or first)], []
     return Name(False, tuple(sur), tuple(giv)) if sur else None

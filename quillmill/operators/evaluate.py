@@ -236,3 +236,21 @@ def body_alignment(a: DataFrame, b: DataFrame, doc: str = "doc_hash") -> DataFra
     """``(doc, score)``: word alignment of two texts of each document; one without the other scores 0."""
     x = a.select(doc, X.alignment_words("text").alias("wa")).join(b.select(doc, X.alignment_words("text").alias("wb")), doc, "full")
     return x.select(doc, word_alignment(F.col("wa"), F.col("wb")).alias("score"))
+
+
+def percentile_by_rank(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:
+    """``(group, value)``: of each group's values in order, the one at the rounded share ``p`` of the last index. Nulls are left out.
+
+    Rows are sorted by range, so a group of any size is spread over many tasks; the counts of each range tell which of
+    them holds the wanted rank, and only that range is ranked.
+    """
+    from quillmill.session import cut, partitions
+
+    x = rows.select(F.col(group).alias("g"), F.col(value).alias("v")).filter("v IS NOT NULL")
+    ranged = cut(x.repartitionByRange(partitions(rows.sparkSession), "g", "v").withColumn("part", F.spark_partition_id()))
+    counts = ranged.groupBy("g", "part").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("g")
+    held = counts.withColumn("before", F.sum("n").over(w.orderBy("part")) - F.col("n")).withColumn("at", F.round((F.sum("n").over(w) - 1) * F.lit(p)).cast("bigint"))
+    held = held.filter((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("n"))).select("g", "part", (F.col("at") - F.col("before")).alias("local"))
+    ranked = ranged.join(held, ["g", "part"]).withColumn("i", F.row_number().over(Window.partitionBy("g", "part").orderBy("v")) - 1)
+    return ranked.filter("i = local").select(F.col("g").alias(group), F.col("v").alias(value.rsplit(".", 1)[-1]))

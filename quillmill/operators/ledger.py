@@ -125,12 +125,10 @@ def corpus(latest: DataFrame, documents: DataFrame, doc: str = "hash", title: st
 
 def numbered_lines(pages: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """``(key, line_no, n, start, line)``: non-blank lines numbered from 1, with their character offset."""
-    lines = F.split(F.col(text), "\n")
-    x = pages.select(*key, F.posexplode(lines).alias("line_no", "line"), lines.alias("all"))
-    start = F.aggregate(F.slice("all", 1, F.col("line_no")), F.lit(0), lambda s, l: s + F.length(l) + 1)
+    x = pages.select(*key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
     w = Window.partitionBy(*key).orderBy("line_no")
-    x = x.select(*key, "line_no", "line", start.alias("start")).filter(F.trim("line") != "")
-    return x.withColumn("n", F.row_number().over(w))
+    x = x.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return x.filter(F.trim("line") != "").withColumn("n", F.row_number().over(w))
 
 
 def document_context(pages: DataFrame, most: int, doc: str = "doc_hash") -> DataFrame:

@@ -43,13 +43,7 @@ def run_statistics(spark, d):
 @q(f"""SELECT backend_name, (list_sort(list(timings.parse_ms)))[CAST(round((count(*) - 1) * 0.9) AS BIGINT) + 1] AS p90 FROM {RUNS} WHERE timings.parse_ms IS NOT NULL GROUP BY backend_name""")
 def run_percentiles(spark, d):
     """The other percentile rule: the element at the rounded share of the last index."""
-    runs = _runs(spark, d).filter("timings.parse_ms IS NOT NULL")
-    # Rank and count by window functions, so that no group is collected.
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("backend_name").orderBy("timings.parse_ms", "run_key")
-    x = runs.withColumn("i", F.row_number().over(w) - 1).join(runs.groupBy("backend_name").agg(F.count("*").alias("n")), "backend_name")
-    return x.filter(F.col("i") == F.round((F.col("n") - 1) * 0.9)).select("backend_name", F.col("timings.parse_ms").alias("p90"))
+    return E.percentile_by_rank(_runs(spark, d), "backend_name", "timings.parse_ms", 0.9).select("backend_name", F.col("parse_ms").alias("p90"))
 
 
 @q(f"""SELECT run_key, sha256(concat_ws(chr(31), hash, backend_name, backend_version, config_digest, CAST(schema_version AS VARCHAR))) AS natural_key, list_has_any(coalesce(list_transform(warnings, lambda w: split_part(w, ':', 1)), []), ['failed', 'resource_limit', 'unicode_mapping', 'extraction_incomplete']) AS partial FROM {RUNS}""")

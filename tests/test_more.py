@@ -69,3 +69,9 @@ def test_body_alignment(spark):
     assert [r.text for r in E.body_lines(d).collect()] == ["we keep this line"]
     x, y = spark.createDataFrame([("a", "one two three"), ("b", "word")], "doc_hash string, text string"), spark.createDataFrame([("a", "One, three!")], "doc_hash string, text string")
     assert {r.doc_hash: r.score for r in E.body_alignment(x, y).collect()} == {"a": 0.8, "b": 0.0}
+
+
+def test_percentile_by_rank(spark):
+    rows = [("a", float(i)) for i in range(101)] + [("b", 3.0), ("b", 1.0), ("c", None)]
+    d = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    assert {r.g: r.v for r in E.percentile_by_rank(d, "g", "v", 0.9).collect()} == {"a": 90.0, "b": 3.0}

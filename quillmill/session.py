@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -26,7 +26,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not shared:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
-        shared = os.path.join(tempfile.gettempdir(), "quillmill-checkpoints")
+        shared = tempfile.mkdtemp(prefix="quillmill-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)
 
 

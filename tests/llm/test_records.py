@@ -121,6 +121,31 @@ def test_recall_against_all_pairs(spark, data):
     assert len(pairs(matching.candidates(entries)) & true) >= 0.95 * len(true) > 100
 
 
+def sharing(spark, s, e, n):
+    """Share of entries i and 1000 + i that have a key in common, under the keys for n entries."""
+    embedder, width = matching.fit(s, e, s.count() + e.count()), matching.key_width(n)
+    keys = [{r.id % 1000: set(r["keys"]) for r in matching.read_entries(d, i, c, k, embedder, width).select("id", "keys").collect()} for k, (d, i, c) in enumerate(((s, "ref_id", matching.SOURCE), (e, "ext_id", matching.EXTRACTED)))]
+    return sum(bool(keys[0][i] & keys[1][i]) for i in keys[0]) / len(keys[0])
+
+
+def test_keys_find_as_much_among_many_entries(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("bcdfghklmnprstvz") + r.choice("aeiou") for _ in range(4))
+    s, e = [], []
+    for i in range(400):
+        t = [word() for _ in range(6)]
+        s.append((i, None, None, None, " ".join(t), 2001, None))
+        e.append((1000 + i, None, None, None, " ".join([word(), *t[1:]]), 2001, None, None, None, None, None))
+    s = spark.createDataFrame(s, "ref_id bigint, text string, authors array<string>, surname string, title string, year int, doi string")
+    e = spark.createDataFrame(e, "ext_id bigint, raw string, authors array<string>, surname string, title string, year int, venue string, volume string, issue string, pages string, doi string")
+    few, many = sharing(spark, s, e, 1_000), sharing(spark, s, e, 900_000)
+    assert few > 0.5 and many > few - 0.1
+    # The next year, and else nothing but the DOI.
+    assert sharing(spark, s, e.withColumn("year", F.lit(2002)), 900_000) > 0.25 and sharing(spark, s, e.withColumn("year", F.lit(2000)), 900_000) > 0.25
+    doi = lambda d, i: d.withColumn("doi", F.concat(F.lit("10.1000/x"), F.col(i) % 1000)).withColumn("title", F.lit(None).cast("string"))
+    assert sharing(spark, doi(s, "ref_id"), doi(e, "ext_id"), 900_000) == 1
+
+
 # --- lines ----------------------------------------------------------------------------------------------------------
 
 

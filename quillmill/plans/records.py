@@ -121,10 +121,10 @@ def exact_title_pass(spark, d):
 
 @q(None)
 def verified_references(spark, d):
-    """Extracted entries resolved against the source entries as registry: candidates by surname and year, verified, ambiguity by margin."""
-    e = table(spark, d, "extracted_refs").filter("surname IS NOT NULL AND year IS NOT NULL").select(F.col("ext_id").alias("entry_id"), V.folded(F.col("raw")).alias("entry"), F.lower("surname").alias("k"), "year")
-    r = table(spark, d, "source_refs").filter("surname IS NOT NULL AND year IS NOT NULL").select(F.col("ref_id").alias("record_id"), V.folded(F.col("title")).alias("title"), V.folded(F.get("authors", F.lit(0))).alias("author"), F.lower("surname").alias("k"), "year", I.normalize_doi("doi").alias("doi"))
-    scored = e.join(r, ["k", "year"]).withColumn("score", V.verify(F.col("entry"), F.col("title"), F.col("author"), F.col("year")))
+    """Extracted entries resolved against the source entries as registry: every pair that verifies, ambiguity by margin."""
+    e = table(spark, d, "extracted_refs").select(F.col("ext_id").alias("entry_id"), V.folded(F.col("raw")).alias("entry"))
+    r = table(spark, d, "source_refs").select(F.col("ref_id").alias("record_id"), V.folded(F.col("title")).alias("title"), V.folded(F.get("authors", F.lit(0))).alias("author"), "year", I.normalize_doi("doi").alias("doi"))
+    scored = V.verifiable_pairs(e, r).withColumn("score", V.verify(F.col("entry"), F.col("title"), F.col("author"), F.col("year")))
     return V.select_records(scored).select("entry_id", "record_id", F.round("score", 6).alias("score"), "outcome")
 
 

@@ -209,3 +209,20 @@ def test_ledger(spark, tmp_path):
     n = spark.createDataFrame([("d", 1, "complete", "abcdef"), ("d", 2, "complete", "abc"), ("e", 1, "complete", "abc")], "doc_hash string, page int, status string, text string")
     c = spark.createDataFrame([("d", 1, "complete", "ab"), ("d", 2, "complete", "abc"), ("e", 1, "complete", "abcd")], "doc_hash string, page int, status string, text string")
     assert {r.doc_hash: (r.use, r.reason) for r in L.prefer_candidate(n, c).collect()} == {"d": ("native", "text lost"), "e": ("candidate", None)}
+
+
+def test_verifiable_pairs_are_all_pairs_that_verify(spark, data):
+    from pyspark.sql import functions as F
+
+    from quillmill.operators import resolve as V
+    from quillmill.session import cut, table
+
+    e = table(spark, data, "extracted_refs").select(F.col("ext_id").alias("entry_id"), V.folded(F.col("raw")).alias("entry"))
+    r = table(spark, data, "source_refs").select(F.col("ref_id").alias("record_id"), V.folded(F.col("title")).alias("title"), V.folded(F.get("authors", F.lit(0))).alias("author"), "year", F.col("doi"))
+    # A year off, a misread surname, no year, no author, neither title nor year, a neighbour's year without a title.
+    extra_e = spark.createDataFrame([(-1, "smyth j. gentle rivers carry heavy stones. j. x 2002"), (-2, "unheard, k. notes. 1999")], e.schema)
+    extra_r = spark.createDataFrame([(-k, t, a, y, None) for k, (t, a, y) in enumerate([("gentle rivers carry heavy stones", "John Smythe", 2001), ("gentle rivers carry heavy stones", "John Smythe", None), ("gentle rivers carry heavy stones", None, 2003), (None, "Karl Unheard", None), ("notes", "Karl Unherd", 2000), ("notes", "Karl Other", 2000)], 1)], r.schema)
+    e, r = cut(e.unionByName(extra_e)), cut(r.unionByName(extra_r))
+    found = lambda p: {(x.entry_id, x.record_id) for x in p.filter(V.verify(F.col("entry"), F.col("title"), F.col("author"), F.col("year")).isNotNull()).select("entry_id", "record_id").collect()}
+    want = found(e.repartition(8).crossJoin(F.broadcast(r)))
+    assert found(V.verifiable_pairs(e, r)) == want and {(-1, -1), (-1, -2), (-1, -3), (-2, -4), (-2, -5)} <= want and (-2, -6) not in want

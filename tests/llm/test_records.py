@@ -146,6 +146,21 @@ def test_keys_find_as_much_among_many_entries(spark):
     assert sharing(spark, doi(s, "ref_id"), doi(e, "ext_id"), 900_000) == 1
 
 
+def test_missing_authors_are_unknown_and_cosine_is_exact(spark):
+    import numpy as np
+
+    # Titles at 8 of 40 bits; only the first pair's authors are far apart.
+    signs = lambda t, p: (t << matching.P_BITS) | p
+    rows = [(0, 1, "red fox", "lee", signs(0, 0), [2]), (1, 2, "red fix", "roe", signs(255, 2047), [2]), (0, 3, "red fox", "", signs(0, 0), [4]), (1, 4, "red fix", "roe", signs(255, 2047), [4]), (0, 5, "", "", 0, [6]), (1, 6, "", "roe", 0, [6])]
+    entries = spark.createDataFrame(rows, "side int, fid bigint, words string, surnames string, signs bigint, keys array<bigint>")
+    assert [(r.s, r.e) for r in matching.candidates(entries).collect()] == [(3, 4)]
+    embed = matching.Embedder({}, np.ones(matching.CELLS, np.int64))
+    pairs = spark.createDataFrame([(3, 4, None, True), (5, 6, None, True), (1, 2, True, False)], "s bigint, e bigint, doi boolean, same boolean")
+    got = {r.s: r.cosine for r in matching.exact_cosine(pairs, entries, embed).collect()}
+    a, b = embed.lists([["red", "fox"], ["red", "fix"]], 0)
+    assert abs(got[3] - a @ b) < 1e-5 and abs(got[1] - a @ b) < 1e-5 and got[5] == 0
+
+
 # --- lines ----------------------------------------------------------------------------------------------------------
 
 

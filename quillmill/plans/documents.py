@@ -154,11 +154,23 @@ def numbered_lines(spark, d):
         WHERE regexp_full_match(a.nt || b.nt, '[\x00-\x7f]*')""")
 def title_similarity(spark, d):
     """Jaccard and edit similarity of the titles of neighbouring documents (plain letters, so that both engines count alike)."""
+    return _title_similarity(_neighbours(spark, d).filter(F.concat("nt", "mt").rlike(r"^[\x00-\x7f]*$")))
+
+
+@q(None)
+def title_similarity_all(spark, d):
+    """Jaccard and edit similarity of the titles, in any script, of neighbouring documents."""
+    return _title_similarity(_neighbours(spark, d))
+
+
+def _neighbours(spark, d):
     nt = F.coalesce(X.normalize_title("title"), F.lit(""))
     x = table(spark, d, "documents").select("doc_id", nt.alias("nt"))
-    y = x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("nt").alias("mt"))
+    return x.join(x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("nt").alias("mt")), "doc_id")
+
+
+def _title_similarity(j):
     ws = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
-    j = x.join(y, "doc_id").filter(F.concat("nt", "mt").rlike(r"^[\x00-\x7f]*$"))
     return j.select("doc_id", X.jaccard(ws("nt"), ws("mt")).alias("jaccard"), X.similarity(F.col("nt"), F.col("mt")).alias("similarity"))
 
 

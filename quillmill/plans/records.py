@@ -90,7 +90,16 @@ def _ref_records(spark, d):
          FROM (SELECT title, year, {BARE.format('doi')} AS b FROM extracted_refs WHERE regexp_full_match(coalesce(title, ''), '[\\x00-\\x7f]*'))) GROUP BY 1""")
 def record_keys(spark, d):
     """Blocking keys of references with plain titles, and how many records share them."""
-    e = table(spark, d, "extracted_refs").filter(F.coalesce("title", F.lit("")).rlike(r"^[\x00-\x7f]*$"))
+    return _record_keys(table(spark, d, "extracted_refs").filter(F.coalesce("title", F.lit("")).rlike(r"^[\x00-\x7f]*$")))
+
+
+@q(None)
+def record_keys_all(spark, d):
+    """Blocking keys of all references, titles in any script, and how many records share them."""
+    return _record_keys(table(spark, d, "extracted_refs"))
+
+
+def _record_keys(e):
     return e.select(F.explode(R.match_keys(F.col("doi"), F.lit(None).cast("string"), F.col("title"), F.col("year"))).alias("match_key")).groupBy("match_key").agg(F.count("*").alias("records"))
 
 
@@ -114,8 +123,18 @@ def reference_matches(spark, d):
 def exact_title_pass(spark, d):
     """One-to-one matches of equal plain titles under one surname."""
     plain = F.col("title").rlike(r"^[\x00-\x7f]*$")
-    t = table(spark, d, "source_refs").filter(plain).filter("surname IS NOT NULL").select(F.col("surname").alias("doc"), F.col("ref_id").alias("t_idx"), X.normalize_title("title").alias("k"))
-    e = table(spark, d, "extracted_refs").filter(plain).filter("surname IS NOT NULL").select(F.col("surname").alias("doc"), F.col("ext_id").alias("e_idx"), X.normalize_title("title").alias("k"))
+    return _exact_titles(table(spark, d, "source_refs").filter(plain), table(spark, d, "extracted_refs").filter(plain))
+
+
+@q(None)
+def exact_title_pass_all(spark, d):
+    """One-to-one matches of equal titles, in any script, under one surname."""
+    return _exact_titles(table(spark, d, "source_refs").filter("title IS NOT NULL"), table(spark, d, "extracted_refs").filter("title IS NOT NULL"))
+
+
+def _exact_titles(source_refs, extracted_refs):
+    t = source_refs.filter("surname IS NOT NULL").select(F.col("surname").alias("doc"), F.col("ref_id").alias("t_idx"), X.normalize_title("title").alias("k"))
+    e = extracted_refs.filter("surname IS NOT NULL").select(F.col("surname").alias("doc"), F.col("ext_id").alias("e_idx"), X.normalize_title("title").alias("k"))
     return E.exact_pass(t, e, "k").select("doc", "t_idx", "e_idx")
 
 

@@ -226,3 +226,40 @@ def test_verifiable_pairs_are_all_pairs_that_verify(spark, data):
     found = lambda p: {(x.entry_id, x.record_id) for x in p.filter(V.verify(F.col("entry"), F.col("title"), F.col("author"), F.col("year")).isNotNull()).select("entry_id", "record_id").collect()}
     want = found(e.repartition(8).crossJoin(F.broadcast(r)))
     assert found(V.verifiable_pairs(e, r)) == want and {(-1, -1), (-1, -2), (-1, -3), (-2, -4), (-2, -5)} <= want and (-2, -6) not in want
+
+
+def test_titles_of_any_script_against_brute_force(spark, tmp_path):
+    import itertools
+    import unicodedata
+    from collections import Counter
+
+    import pytest
+
+    from quillmill.plans import catalog
+
+    titles = ["Größe der Flüsse", "größe, der flüsse!", "Тихие реки", "тихие РЕКИ", "静かな川", "静かな川", "A plain one", "A plain one", "", None]
+    split = lambda t: "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in t).split()
+    norm = lambda t: split(t.lower())
+    rows = [(i, t, "Ли", 2001, f"10.1000/{i}") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "ref_id bigint, title string, surname string, year int, doi string").write.parquet(f"{tmp_path}/source_refs.parquet")
+    spark.createDataFrame(rows, "ext_id bigint, title string, surname string, year int, doi string").write.parquet(f"{tmp_path}/extracted_refs.parquet")
+    spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    known = [(i, norm(t)) for i, t in enumerate(titles) if t is not None]
+    want = Counter(f"title:{' '.join(w)}|2001" for _, w in known if w) + Counter(f"doi:10.1000/{i}" for i in range(len(titles)))
+    assert {r.match_key: r.records for r in run("record_keys_all")} == want
+    assert {(i, i) for i, w in known if w} <= {(r.t_idx, r.e_idx) for r in run("exact_title_pass_all")} <= {(i, i) for i, _ in known}
+    assert {r.ref_id: r.fts for r in run("search_query_text_all")} == {i: " OR ".join(f'"{w}"' for w in split(titles[i])) or None for i, _ in known}
+
+    def edits(a, b):
+        line = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            line = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j: min(left + 1, line[j] + 1, line[j - 1] + (c != b[j - 1])), initial=i))
+        return line[-1]
+
+    similar = {r.doc_id: (r.jaccard, r.similarity) for r in run("title_similarity_all")}
+    for i, (a, b) in enumerate(itertools.pairwise([norm(t or "") for t in titles])):
+        x, y = " ".join(a), " ".join(b)
+        jaccard = len({*a} & {*b}) / len({*a} | {*b}) if a and b else 0.0
+        assert similar[i] == pytest.approx((jaccard, 1 - edits(x, y) / max(len(x), len(y)) if x or y else 1.0))
+    assert len(similar) == len(titles) - 1

@@ -170,7 +170,7 @@ def anchor_links(anchors: DataFrame, least_similarity: float = 0.75) -> DataFram
         import xxhash
 
         for b in batches:
-            rows = [(xxhash.xxh64_intdigest(f"{q}{g}") >> 1, a, n) for a, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(a) > 3 for q, grams in gram_classes(a) for g in prefix(grams, q, order)]
+            rows = [(xxhash.xxh64_intdigest(f"{q}{g}") >> 1, a, n) for a, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for q, grams in gram_classes(a) for g in prefix(grams, q, order)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["gram", "a", "n"])
 
     # Both sides of the join are the same frame under the same names, so that it is made and shuffled once.
@@ -193,11 +193,15 @@ def anchor_links(anchors: DataFrame, least_similarity: float = 0.75) -> DataFram
 
     best = pairs.mapInArrow(verify, "a string, n bigint, b string, m bigint").select(F.col("a").alias("anchor"), F.col("b").alias("target"), "m")
     best = best.unionByName(bare).groupBy("anchor").agg(F.max_by("target", F.struct("m", "target")).alias("target"))
-    # Targets are commoner at every step; three doublings follow chains of eight.
+    # Counts never fall along a chain. Doubled until no target changes; chains have no more steps than there are links,
+    # which ends it too where equally common spellings go round in a ring.
     best = cut(best)
-    for _ in range(3):
+    for _ in range(best.count().bit_length()):
         nxt = best.select(F.col("anchor").alias("target"), F.col("target").alias("further"))
-        best = cut(best.join(nxt, "target", "left").select("anchor", F.coalesce("further", "target").alias("target")))
+        best = cut(best.join(nxt, "target", "left").select("anchor", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved")))
+        still, best = best.filter("moved").limit(1).count(), best.drop("moved")
+        if not still:
+            break
     return best
 
 

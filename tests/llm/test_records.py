@@ -57,6 +57,13 @@ def test_entities(spark):
     assert linking.entities(c.limit(0), s.limit(0)).count() == 0
 
 
+def test_short_anchors_and_long_chains_are_linked(spark):
+    # Each spelling is one edit from the next and two from the one after.
+    chain = ["b" * i + "a" * (24 - i) for i in range(20)]
+    got = {r.anchor: r.target for r in linking.anchor_links(spark.createDataFrame([*zip(chain, range(1, 21), strict=True), ("kim", 9), ("kimm", 1), ("kin", 1)], "anchor string, n bigint")).collect()}
+    assert got == {a: chain[-1] for a in chain[:-1]} | {"kimm": "kim"}
+
+
 def test_large_entities_are_paired_in_blocks(spark):
     n = 1200
     m = spark.range(n).select(F.col("id").alias("row_id"), F.lit(1).alias("entity"), F.lit(n).cast("bigint").alias("size")).unionByName(spark.createDataFrame([(5000, 2, 2), (5001, 2, 2), (6000, 3, 1)], "row_id bigint, entity int, size bigint"))

@@ -1,17 +1,24 @@
 """Problem 2: text that looks ordinary but is made of other characters.
 
 ``skeleton`` decomposes a text, replaces every character by its prototype from the look-alike table, drops what is
-invisible and decomposes again; texts that look the same have equal skeletons. ``consistent`` gives the ordinary
-spelling: stand-ins are replaced within the script of their word.
-
-A value holds a stand-in if a rule on its characters says so (invisible characters, unusual spaces and hyphens,
-full-width and other compatibility forms, joined letters, accents apart from their letters, letters of another
-script inside a word), or if one of its words shares its skeleton with a spelling that the whole corpus uses far
-more often (0 for o, 1 for l, rn for m, d for cl and so on): words are grouped by equal skeleton and counted over
-all values. Words wholly in their own script, Greek letters used as symbols, precomposed letters, en dashes, curly
-quotes, line breaks, tabs and repeated spaces are ordinary.
-
-Null and empty values hold none. Values of any length are read whole.
+invisible and decomposes again; texts that look the same have equal skeletons. The table is the whole public one
+(about 6,000 entries), read from the Unicode library that comes with Spark; where that cannot be reached, the letters
+written down here are used. ``consistent`` gives the ordinary spelling.
+
+``stand_ins``: the distinct spellings (runs without white space) of the corpus are grouped by equal skeleton. In each
+group the commonest ordinary spelling is the one the others stand for. A spelling that differs from its skeleton's
+ordinary form is checked letter by letter (invisible characters, unusual spaces and hyphens, full-width and other
+compatibility forms, joined letters, accents apart from their letters, letters of another script inside a word); a
+word wholly in look-alikes of another script is a stand-in if the other words of its value are in one script and it is
+not, or, where the value tells nothing, if an ordinary spelling of its group is at least ``RATIO`` times as common.
+Words wholly in their own script, Greek letters used as symbols, precomposed letters, en dashes, curly quotes, line
+breaks, tabs and repeated spaces are ordinary.
+
+``misread`` finds what a reading error made of ordinary characters (0 for o, 1 for l, rn for m, d for cl, vv for w):
+words of equal skeleton of which another one is far more common. These are not characters of another kind, so they
+are a query of their own.
+
+Null and empty values hold none. Values of any length are read whole. Repeated rows are found once.
 """
 
 from __future__ import annotations
@@ -19,10 +26,11 @@ from __future__ import annotations
 import unicodedata as ud
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.session import cut
@@ -35,6 +43,9 @@ LETTERS = OTHER | GREEK | CYRILLIC
 LATIN_ALIKE = frozenset(CYRILLIC.values())
 #: Greek letters that stand in for Latin ones only inside Latin words; alone they are symbols.
 TWO_SYMBOLS = set("νικρυχ")
+#: Letters of other alphabets, and phonetic ones, that are stand-ins within a word of plain letters.
+STRANGE = frozenset("օսոհցոզյɑɡɩʋ")
+ASCII_PAIR = regex.compile("[A-Za-z]{2}")
 HYPHENS = set("‐‑‒⁃﹣－˗➖﹘")
 MINUS = "−"
 OVERLAYS = {chr(c) for c in range(0x334, 0x339)}
@@ -42,7 +53,7 @@ SPACING_ACCENTS = set("´¨ˆˇ˘˙˚˜˝¸˛ˊˋ")
 #: Punctuation stand-ins with their prototypes (fixed values).
 POINTS = {"․": ".", "꞉": ":", "∶": ":", "։": ":", "׃": ":", "⁄": "/", "∕": "/", "⧸": "/", "ǃ": "!", "‚": ",", "٫": ",", "∣": "|", "ǀ": "|", "∗": "*", "⁎": "*", "ʼ": "’", "′": "’", "՚": "’"}
 IGNORABLE = {"͏", "ᅟ", "ᅠ", "ㅤ", "ﾠ", "឴", "឵", "᠋", "᠌", "᠍", "᠏"} | {chr(c) for c in range(0xFE00, 0xFE10)} | {chr(c) for c in range(0xE0100, 0xE01F0)}
-#: Sequences that look like one letter, and digits that look like letters, at the end of the skeleton (fixed values).
+#: Digits and sequences of plain letters that are misread for one letter (fixed values).
 SEQUENCES = (("0", "o"), ("1", "l"), ("rn", "m"), ("cl", "d"), ("vv", "w"))
 #: A spelling is a stand-in if another one of equal skeleton is at least so many times as common.
 RATIO = 4
@@ -84,23 +95,39 @@ def _prototype(ch: str) -> str:
     return ud.normalize("NFKD", ch) if unusual_form(ch) else ch
 
 
-def skeleton(text: str | None) -> str | None:
+@lru_cache(maxsize=1)
+def _small_table() -> dict[str, str]:
+    return LETTERS | {"m": "rn", "0": "O", "1": "l", "I": "l", "|": "l"}
+
+
+_TABLES: dict[str, dict[str, str]] = {}
+
+
+def look_alikes(spark: SparkSession | None = None) -> dict[str, str]:
+    """Prototype of each character that looks like another one; ideographs and Hangul syllables have none."""
+    spark = spark or SparkSession.getActiveSession()
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return _small_table()
+    if "public" not in _TABLES:
+        left_out = ((0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0xD800, 0xDFFF), (0x20000, 0x3FFFF))
+        chars = [c for i in range(0x20, 0x110000) if not any(a <= i <= b for a, b in left_out) and ud.category(c := chr(i)) not in ("Cn", "Co", "Cs", "Cc")]
+        # One call for all characters; line feeds keep them apart.
+        found = jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton(0, "\n".join(chars)).split("\n")
+        if len(found) != len(chars):
+            return _small_table()
+        _TABLES["public"] = {c: k for c, k in zip(chars, found, strict=True) if k != ud.normalize("NFD", c)}
+    return _TABLES["public"]
+
+
+def skeleton(text: str | None, table: dict[str, str] | None = None) -> str | None:
     """What a text looks like: equal for texts that look the same. Null stays null."""
     if text is None:
         return None
+    get = (_small_table() if table is None else table).get
+    # Forms and spaces first, so that a full-width letter gets the prototype of the letter.
     out = ud.normalize("NFD", "".join(map(_prototype, ud.normalize("NFD", text))))
-    out = ud.normalize("NFD", "".join(map(_prototype, out))).lower()
-    for a, b in SEQUENCES:
-        out = out.replace(a, b)
-    return out
-
-
-def word_skeleton(word: str) -> str:
-    """Skeleton of one lower-case word in ordinary letters."""
-    out = ud.normalize("NFD", word) if not word.isascii() else word
-    for a, b in SEQUENCES:
-        out = out.replace(a, b)
-    return out
+    return ud.normalize("NFD", "".join([get(ch, ch) for ch in out]))
 
 
 def script_counts(word: str) -> dict[str, int]:
@@ -109,6 +136,8 @@ def script_counts(word: str) -> dict[str, int]:
 
 
 def _word_mixes(word: str) -> bool:
+    if any(ch in STRANGE for ch in word) and ASCII_PAIR.search(word):
+        return True
     c = script_counts(word)
     if len(c) < 2:
         return False
@@ -118,31 +147,55 @@ def _word_mixes(word: str) -> bool:
     return any(ch in GREEK or ch in OTHER for ch in word)
 
 
-def _foreign_words(words: list[str]) -> bool:
-    """A word made wholly of look-alikes from another script than the value's other words."""
-    known: Counter = Counter()
-    doubtful = []
-    for w in words:
+#: Bits of the scripts in ``Context``.
+BIT = {"latin": 1, "cyrillic": 2, "greek": 4}
+
+
+def doubtful_scripts(token: str) -> set[str]:
+    """Scripts of the words in a token that are made wholly of look-alikes from another script."""
+    out = set()
+    for w in WORD.findall(token):
         c = script_counts(w)
         if len(c) != 1:
             continue
         (script,) = c
-        if script == "greek":
-            if len(w) == 1 and (w not in GREEK or w in TWO_SYMBOLS):
-                continue
-        table = GREEK if script == "greek" else CYRILLIC if script == "cyrillic" else None
+        if script == "greek" and len(w) == 1 and (w not in GREEK or w in TWO_SYMBOLS):
+            continue
         letters = [ch for ch in w if ch.isalpha()]
-        alike = all(ch in table for ch in letters) if table is not None else len(letters) <= 2 and all(ch in CYRILLIC.values() for ch in letters)
-        (doubtful.append(script) if alike else known.update([script]))
-    if not known or not doubtful:
-        return False
-    main, n = known.most_common(1)[0]
-    # Foreign words may stand in a title of another script, so only clear majorities count.
-    return any(s != main and known[s] == 0 and not (s == "latin" and main != "cyrillic") for s in doubtful)
+        table = GREEK if script == "greek" else CYRILLIC if script == "cyrillic" else None
+        if all(ch in table for ch in letters) if table is not None else len(letters) <= 2 and all(ch in LATIN_ALIKE for ch in letters):
+            out.add(script)
+    return out
+
+
+def foreign(doubtful: set[str], context: int) -> bool:
+    """Whether a doubtful word is foreign to its value; ``context``: eight times the bit of the value's main script, plus the bits of all its sure scripts."""
+    main, known = context >> 3, context & 7
+    # Foreign words may stand in a title of another script, so only clear cases count.
+    return main > 0 and any(BIT[s] != main and not known & BIT[s] and not (s == "latin" and main != BIT["cyrillic"]) for s in doubtful)
+
+
+def context_of(value: Column) -> Column:
+    """The context of a value's words: which scripts its sure words are in. 0 without Greek and Cyrillic letters."""
+    words = F.regexp_extract_all(value, F.lit(r"[\p{L}\p{M}\p{Nd}]+"), F.lit(0))
+    only = lambda w, script: w.rlike(rf"\p{{Is{script}}}") & ~w.rlike("[" + "".join(rf"\p{{Is{s}}}" for s in ("Latin", "Cyrillic", "Greek") if s != script) + "]")
+    sure = {
+        "latin": lambda w: only(w, "Latin") & (w.rlike(r"(\p{L}\P{L}*){3}") | w.rlike(rf"[\p{{L}}&&[^{''.join(sorted(LATIN_ALIKE))}]]")),
+        "cyrillic": lambda w: only(w, "Cyrillic") & w.rlike(rf"[\p{{L}}&&[^{''.join(CYRILLIC)}]]"),
+        "greek": lambda w: only(w, "Greek") & w.rlike(rf"[\p{{L}}&&[^{''.join(GREEK)}]]") & (F.length(w) > 1),
+    }
+    n = {s: F.size(F.filter(words, f)) for s, f in sure.items()}
+    most = F.greatest(*n.values())
+    main = F.when(most == 0, 0)
+    known = F.lit(0)
+    for s, b in BIT.items():
+        main = main.when(n[s] == most, b)
+        known = known + F.when(n[s] > 0, b).otherwise(0)
+    return F.when(value.rlike(r"[\p{IsGreek}\p{IsCyrillic}]"), main * 8 + known).otherwise(F.lit(0)).cast("int")
 
 
 def holds_stand_in(text: str | None) -> bool:
-    """The rules on characters; the corpus's word groups come on top."""
+    """The letter-by-letter check of a spelling; words wholly of look-alikes need their context besides."""
     if not text or text.isascii():
         return bool(text) and any(invisible(ch) for ch in text)
     odd = {ch for ch in text if ord(ch) > 126 or ch < " "}
@@ -167,8 +220,7 @@ def holds_stand_in(text: str | None) -> bool:
             return True
     if ud.normalize("NFC", text) != text:
         return True
-    words = WORD.findall(text)
-    return any(_word_mixes(w) for w in words) or _foreign_words(words)
+    return any(map(_word_mixes, WORD.findall(text)))
 
 
 def _beside_east_asian(text: str, ch: str) -> bool:
@@ -224,65 +276,93 @@ def consistent(text: str | None) -> str | None:
     return WORD.sub(one_script, text)
 
 
-AMBIGUOUS = regex.compile(r"rn|m|d|cl|vv|w|[01](?=\p{L})|(?<=\p{L})[01]")
+#: Sets of keys up to this number are broadcast, larger ones joined by shuffle in ``SALTS`` parts a key.
+FEW_KEYS, SALTS = 200_000, 16
 
 
-def ambiguous_words(text: str | None) -> list[str]:
-    """The distinct lower-case words, in ordinary spelling, that could share a skeleton with another spelling."""
-    plain = consistent(text)
-    if not plain:
-        return []
-    return sorted({w for w in WORD.findall(plain.lower()) if AMBIGUOUS.search(w) or "o" in w or "l" in w})
+def having(rows: DataFrame, keys: DataFrame, on: list[str], by: str) -> DataFrame:
+    """The rows whose key is in ``keys`` (distinct): by broadcast where they are few, counted first, else by a shuffle in which ``by`` spreads each key over ``SALTS`` tasks."""
+    if keys.count() <= FEW_KEYS:
+        return rows.join(F.broadcast(keys), on, "left_semi")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return salted.join(keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "salt"], "left_semi").drop("salt")
 
 
-def examine(values: DataFrame) -> DataFrame:
-    """``(field, row_id, direct, words)`` from ``(field, row_id, value)``; one narrow Arrow stage."""
+#: Runs of these are what spellings are separated by; other spaces may be stand-ins and are part of the spelling.
+APART = r"[ \n\r\t]+"
+ODD = r"[^\n\r\t -~]"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            direct, words = [], []
-            for v in b.column(2).to_pylist():
-                direct.append(holds_stand_in(v))
-                words.append(ambiguous_words(v))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(direct, pa.bool_()), pa.array(words, pa.list_(pa.string()))], ["field", "row_id", "direct", "words"])
 
-    return values.mapInArrow(run, "field string, row_id bigint, direct boolean, words array<string>")
+def spellings(values: DataFrame) -> DataFrame:
+    """``(spelling, context, n)``: the distinct runs without ordinary white space, with their context where letters of other scripts occur."""
+    x = values.select(context_of(F.col("value")).alias("context"), F.explode(F.split("value", APART)).alias("spelling"))
+    return x.groupBy("spelling", "context").agg(F.count("*").alias("n"))
 
 
-def word_groups(words: DataFrame) -> DataFrame:
-    """``(word, n, common)``: each spelling's count and the count of the commonest one with the same skeleton, where there are several."""
+def spelling_groups(distinct: DataFrame, table: dict[str, str]) -> DataFrame:
+    """``(spelling, context, n, skeleton, ordinary, doubtful)``; ``ordinary``: how often the group's commonest ordinary spelling occurs, 0 if there is none.
+
+    Only groups with a spelling that is not plain are kept. A group holds the spellings of one word, so it is small.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["spelling", "context", "n", "skeleton", "changed", "plain", "stands", "doubtful"]
         for b in batches:
-            w = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(map(word_skeleton, w), pa.string()), b.column(0), b.column(1)], ["skel", "word", "n"])
-
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).mapInArrow(run, "skel string, word string, n bigint")
-    # A group's spellings differ in a few letters, so a group is small; the plain spelling is the commonest without digits.
-    top = counted.groupBy("skel").agg(F.max(F.when(~F.col("word").rlike("[0-9]"), F.col("n"))).alias("common"), F.count("*").alias("k")).filter("k > 1 AND common IS NOT NULL")
-    return counted.join(top, "skel").select("word", "n", "common")
+            skel, changed, plain, stands, doubt = [], [], [], [], []
+            for t, context in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                k = skeleton(t, table)
+                d = set() if t.isascii() else doubtful_scripts(t)
+                skel.append(k)
+                s = holds_stand_in(t) or foreign(d, context)
+                # A spelling whose skeleton is itself stands for nothing else.
+                changed.append((not t.isascii() or s) and ud.normalize("NFC", k) != t)
+                plain.append(not s and not d)
+                stands.append(s)
+                doubt.append(bool(d) and not context >> 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(skel, pa.string()), *(pa.array(x, pa.bool_()) for x in (changed, plain, stands, doubt))], names=names)
+
+    seen = cut(distinct.mapInArrow(run, "spelling string, context int, n bigint, skeleton string, changed boolean, plain boolean, stands boolean, doubtful boolean"))
+    groups = seen.groupBy("skeleton").agg(F.coalesce(F.max(F.when(F.col("plain"), F.col("n"))), F.lit(0)).alias("ordinary"), F.max("changed").alias("any")).filter("any").drop("any")
+    return seen.join(groups, "skeleton")
 
 
 def stand_ins(values: DataFrame) -> DataFrame:
     """``(field, row_id)`` of every value that holds a stand-in, from ``(field, row_id, value)``."""
-    # Examined once: the result, which holds no whole texts, is read four times below.
-    seen = cut(examine(values.filter(F.col("value").isNotNull())))
-    words = seen.select("field", "row_id", "direct", F.explode("words").alias("word"))
-    groups = word_groups(words.select("word"))
+    held = values.filter(F.col("value").isNotNull())
+    groups = spelling_groups(spellings(held), look_alikes(values.sparkSession))
+    # The method's candidates: spellings that are not what they look like; the exact check follows.
+    strange = cut(groups.filter("changed AND (stands OR (doubtful AND ordinary >= %d * n))" % RATIO).select("spelling", "context"))
+    odd = held.filter(F.col("value").rlike(ODD))
+    rows = odd.select("field", "row_id", context_of(F.col("value")).alias("context"), F.explode(F.filter(F.array_distinct(F.split("value", APART)), lambda t: t.rlike(ODD))).alias("spelling"))
+    return having(rows, strange, ["spelling", "context"], "row_id").select("field", "row_id").distinct()
+
+
+def plain_words(value: Column) -> Column:
+    """The distinct lower-case words of a value."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit(r"[\p{L}\p{M}\p{Nd}]+"), F.lit(0)))
+
+
+def read_alike(word: Column) -> Column:
+    """What words that are misread for each other have in common."""
+    for a, b in SEQUENCES:
+        word = F.replace(word, F.lit(a), F.lit(b))
+    return word
+
+
+def misread(values: DataFrame) -> DataFrame:
+    """``(field, row_id)`` of every value with a word that a reading error made of ordinary characters."""
+    held = values.filter(F.col("value").isNotNull())
+    words = held.select("field", "row_id", F.explode(plain_words(F.col("value"))).alias("word"))
+    counted = cut(words.groupBy("word").agg(F.count("*").alias("n")).withColumn("skeleton", read_alike(F.col("word"))))
+    # A group's spellings differ in a few letters, so a group is small; the plain spelling is the commonest without digits.
+    top = counted.groupBy("skeleton").agg(F.max(F.when(~F.col("word").rlike("[0-9]"), F.col("n"))).alias("common"), F.count("*").alias("k")).filter("k > 1 AND common IS NOT NULL")
     digits = F.col("word").rlike("[0-9]")
-    rare = groups.filter(F.when(digits, F.col("common") >= F.col("n")).otherwise(F.col("common") >= RATIO * F.col("n"))).select("word")
+    rare = F.when(digits, F.col("common") >= F.col("n")).otherwise(F.col("common") >= RATIO * F.col("n"))
     # Digits inside longer words need no second spelling.
-    alone = F.exists("words", lambda w: w.rlike(r"^[^0-9]*\p{L}[01]+\p{L}[^0-9]*$|^[01]\p{L}{3,}$|^\p{L}{3,}[01]$|\p{L}[01]+\p{L}+[01]+\p{L}|\p{L}{2}[01]+\p{L}{2}"))
-    direct = seen.filter(F.col("direct") | alone).select("field", "row_id")
-    # Only words with such a letter or digit are moved, never the values. Words in more than 1/200 of the values (at
-    # most 200 times the mean number of words a value, whatever the data's size) are dropped before the shuffle if
-    # they are no stand-ins, and found by broadcast if they are; of the others none holds more than that share.
-    bound = max(1, values.count() // 200)
-    hot = words.select("word").groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") > bound).select("word")
-    hot_rare = F.broadcast(groups.filter(F.col("n") > bound).select("word").join(rare, "word", "left_semi"))
-    moved = words.filter(~F.col("direct") & F.col("word").rlike("rn|m|d|cl|vv|w|[01]")).select("field", "row_id", "word")
-    by_word = moved.join(F.broadcast(hot), "word", "left_anti").join(rare, "word", "left_semi").unionByName(moved.join(hot_rare, "word", "left_semi")).select("field", "row_id")
-    return direct.unionByName(by_word).distinct()
+    alone = F.col("word").rlike(r"^[^0-9]*\p{L}[01]+\p{L}[^0-9]*$|^[01]\p{L}{3,}$|^\p{L}{3,}[01]$|\p{L}[01]+\p{L}+[01]+\p{L}|\p{L}{2}[01]+\p{L}{2}")
+    wrong = cut(counted.join(top, "skeleton", "left").filter(alone | F.coalesce(rare, F.lit(False))).select("word"))
+    moved = words.filter(F.col("word").rlike("rn|m|d|cl|vv|w|[01]"))
+    return having(moved, wrong, ["word"], "row_id").select("field", "row_id").distinct()
 
 
 def title_values(source_refs: DataFrame, extracted_refs: DataFrame) -> DataFrame:
@@ -296,10 +376,11 @@ def title_values(source_refs: DataFrame, extracted_refs: DataFrame) -> DataFrame
 
 def consistent_forms(values: DataFrame) -> DataFrame:
     """``(field, row_id, form, skeleton)`` of every value, null included."""
+    table = look_alikes(values.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(consistent, v), pa.string()), pa.array(map(skeleton, v), pa.string())], ["field", "row_id", "form", "skeleton"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(consistent, v), pa.string()), pa.array([skeleton(x, table) for x in v], pa.string())], ["field", "row_id", "form", "skeleton"])
 
     return values.mapInArrow(run, "field string, row_id bigint, form string, skeleton string")

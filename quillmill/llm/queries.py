@@ -29,6 +29,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return confusables.stand_ins(confusables.title_values(table(spark, d, "source_refs"), table(spark, d, "extracted_refs")))
 
 
+def p2_misread(spark: SparkSession, d: str) -> DataFrame:
+    """Values with a word that a reading error made of ordinary characters."""
+    return confusables.misread(confusables.title_values(table(spark, d, "source_refs"), table(spark, d, "extracted_refs")))
+
+
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     """Consistent form and skeleton of every value."""
     return confusables.consistent_forms(confusables.title_values(table(spark, d, "source_refs"), table(spark, d, "extracted_refs")))

@@ -1,11 +1,16 @@
 """Problem 8: filling containers of fixed capacity with whole items.
 
 Only the histogram of lengths, at most ``capacity`` numbers, reaches the driver. There the configuration linear
-program (how often to use each way of filling one container) is solved by multiplicative weights: lengths that are
-covered badly weigh more, and a knapsack dynamic program finds the filling of greatest weight. The solution is
-rounded down to whole containers; what is left is filled best fit decreasing, equal items together. Best fit alone
-is kept where it needs fewer containers. The plan's size depends on the capacity and the number of rounds, not on
-the number of items.
+program (how often to use each way of filling one container) is solved by multiplicative weights: each round prices
+all lengths (lengths covered less than the others weigh more), a knapsack dynamic program gives the greatest worth
+of each capacity, and fillings of nearly that worth are read off its table and used for a small share of the items.
+The prices of each round, divided by the greatest worth, are a solution of the dual program, whose value is a bound
+below which no packing is possible.
+
+The fractional solution is rounded to whole containers in one sweep over its fillings, which keeps the sum of any
+stretch of them. Items, longest first, then take the least slot of the containers that they fit in; the items left
+over, and those of the emptiest tenth at most of the containers, are filled best fit decreasing, first into the gaps. The plan's size depends on the capacity and the number of
+rounds, not on the number of items.
 
 The items are then numbered within each length, by partition offsets and a count inside each partition, and look up
 their container in the plan. No length, however common, is gathered in one task.
@@ -16,6 +21,7 @@ null are left out. Ids must be unique.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,37 +47,181 @@ class Plan:
         return sum(self.times)
 
 
-def best_filling(lengths: np.ndarray, worth: np.ndarray, supply: np.ndarray, capacity: int) -> dict[int, int]:
-    """The filling of one container with the greatest worth, no length used beyond its supply.
+@dataclass(frozen=True)
+class Solution:
+    """Fractional ``use`` of fillings, keyed by sorted (length, items), and a lower ``bound`` on the number of containers."""
+
+    use: dict[tuple[tuple[int, int], ...], float]
+    bound: float
 
-    Supplies are split into powers of two, so that each part is taken or not; each part is one vector step.
-    """
+
+def greatest_worth(worth: np.ndarray, capacity: int) -> np.ndarray:
+    """Greatest worth of a filling of each capacity; ``worth[l]``: of one item of length l, minus infinity if there is none."""
     best = np.zeros(capacity + 1)
-    parts: list[tuple[int, int, np.ndarray]] = []
-    for l, w, s in zip(lengths.tolist(), worth.tolist(), supply.tolist(), strict=True):
-        if w <= 0:
-            continue
-        left, k = min(s, capacity // l), 1
-        while left > 0:
-            k = min(k, left)
-            left -= k
-            size = k * l
-            taken = np.zeros(capacity + 1, bool)
-            better = best[: capacity + 1 - size] + k * w
-            taken[size:] = better > best[size:] + 1e-15
-            best[size:] = np.maximum(best[size:], better)
-            parts.append((l, k, taken))
-            k *= 2
-    at, out = capacity, {}
-    for l, k, taken in reversed(parts):
-        if taken[at]:
-            out[l] = out.get(l, 0) + k
-            at -= k * l
+    lo = int(np.argmax(worth > -np.inf)) if (worth > -np.inf).any() else capacity + 1
+    for c in range(lo, capacity + 1):
+        best[c] = max(best[c - 1], (worth[lo : c + 1] + best[: c - lo + 1][::-1]).max())
+    return best
+
+
+def _filling(worth: np.ndarray, best: np.ndarray, supply: np.ndarray, wanted: np.ndarray, capacity: int, slack: float, rng: np.random.Generator) -> tuple[dict[int, int], float]:
+    """A filling of about the greatest worth, read off its table at random, lengths in proportion to ``wanted``; and its worth."""
+    f: dict[int, int] = {}
+    room, value = capacity, 0.0
+    while room > 0:
+        v = worth[1 : room + 1] + best[:room][::-1]
+        for l, k in f.items():
+            if l <= room and k >= supply[l]:
+                v[l - 1] = -np.inf
+        top = v.max()
+        if top <= 0:
+            break
+        fit = np.flatnonzero(v >= top - slack * best[capacity])
+        chance = np.cumsum(wanted[fit + 1])
+        l = int(fit[min(np.searchsorted(chance, rng.random() * chance[-1], "right"), len(fit) - 1)]) + 1
+        f[l] = f.get(l, 0) + 1
+        value += worth[l]
+        room -= l
+    return f, value
+
+
+def _classes(supply: np.ndarray, most: int) -> np.ndarray:
+    """Class of each length: neighbouring lengths of about the same total size together, each length alone where there are few."""
+    lengths = np.flatnonzero(supply)
+    out = np.zeros(len(supply), np.int64)
+    if len(lengths) <= most:
+        out[lengths] = np.arange(len(lengths))
+    else:
+        size = np.cumsum(supply[lengths] * lengths)
+        out[lengths] = np.unique((size * most / size[-1]).astype(np.int64), return_inverse=True)[1]
     return out
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> Plan:
-    """Best fit decreasing, with equal items and equally filled containers handled together."""
+def linear_program(histogram: dict[int, int], capacity: int, gap: float = 0.01, runs: int = 2, classes: int = 192, batch: int = 128, slack: float = 0.001, loose: float = 0.1, seed: int = 7) -> Solution:
+    """Fractional covering of all items by fillings, by multiplicative weights, at most ``gap`` above the lower bound.
+
+    A filling is used for a small share of the items of its scarcest class of lengths; a class's weight falls at once
+    with its coverage. Every length has a price, its share of the capacity by its class's weight. A table of greatest
+    worths serves until a filling read off it is worth less by ``loose``, or ``batch`` are made. A run ends when all
+    is covered; the next one begins with the mean prices of the last, with half its share, twice its sharpness and half
+    its looseness, until the gap is closed or ``runs`` are made; the best is returned.
+    """
+    rng = np.random.default_rng(seed)
+    length = np.arange(capacity + 1)
+    supply = np.zeros(capacity + 1)
+    for l, n in histogram.items():
+        supply[l] = n
+    there = supply > 0
+    bound = float((supply * length).sum()) / capacity
+    found = Solution({}, bound)
+    if not there.any():
+        return found
+    cls = _classes(supply, classes)
+    members = [np.flatnonzero((cls == c) & there) for c in range(int(cls[there].max()) + 1)]
+    items = np.array([supply[m].sum() for m in members])
+    base, step, sharpness, least = length / capacity, 0.01, 20.0, math.inf
+    for _ in range(runs):
+        used, left, mean, sum_used, rounds = np.zeros(len(items)), supply.copy(), np.zeros(capacity + 1), 0.0, 0
+        use: dict[tuple[tuple[int, int], ...], float] = {}
+        worth = np.where(there, base, -np.inf)
+        while (left > 0).any():
+            # Weights are relative: the least covered class that is still open has 1.
+            price = np.where(there, base * np.exp(-sharpness * np.clip(used[cls] - used[cls[left > 0]].min(), -1, 1)), 0.0)
+            worth = np.where(left > 0, price, -np.inf)
+            best = greatest_worth(worth, capacity)
+            before = sum_used
+            for i in range(batch):
+                f, value = _filling(worth, best, supply, left * length, capacity, slack, rng)
+                if not f or (i and value < best[capacity] * (1 - loose)):
+                    break
+                of: dict[int, int] = {}
+                for l, k in f.items():
+                    of[cls[l]] = of.get(cls[l], 0) + k
+                amount = min(*(step * items[c] / k for c, k in of.items()), *(left[l] / k for l, k in f.items()))
+                for l, k in f.items():
+                    left[l] -= k * amount
+                    if left[l] < 1e-9 * supply[l]:
+                        left[l] = 0.0
+                        worth[l] = -np.inf
+                for c, k in of.items():
+                    used[c] += k * amount / items[c]
+                    worth[members[c]] *= math.exp(-sharpness * k * amount / items[c])
+                key = tuple(sorted(f.items(), reverse=True))
+                use[key] = use.get(key, 0.0) + amount
+                sum_used += amount
+            # The mean of the prices, while all lengths are open and after the weights have settled.
+            if worth[there].min() > -np.inf and used.mean() > 0.2:
+                mean += price / best[capacity] * (sum_used - before)
+            rounds += 1
+        if not mean.any():
+            mean = price
+        bound = max(bound, float((supply * mean).sum()) / greatest_worth(np.where(there, mean, -np.inf), capacity)[capacity])
+        total = sum(use.values())
+        if total < least:
+            least, found = total, Solution(use, bound)
+        if least <= (1 + gap) * bound:
+            break
+        base, step, sharpness, loose = mean / mean.max(), step / 2, sharpness * 2, loose / 2
+    return Solution(found.use, bound)
+
+
+def rounded(solution: Solution, histogram: dict[int, int]) -> tuple[Plan, dict[int, int]]:
+    """Whole containers from the fractional solution, and the items that have no slot in them.
+
+    Neighbouring fillings in the order of their lengths share their fractions. Items take the least free slot that they
+    fit in, longest items first, so that what is missing of one length is made up by slots of the next ones.
+    """
+    slots: list[tuple[tuple[tuple[int, int], ...], int]] = []
+    total, done = 0.0, 0
+    for key, x in sorted(solution.use.items(), reverse=True):
+        total += x
+        n = math.floor(total + 0.5) - done
+        if n > 0:
+            slots.append((key, n))
+            done += n
+    # Runs of equal slots: (filling, which of its items), in the order of filling; each run has one slot a container.
+    by_length: dict[int, list[tuple[int, int, int]]] = {}
+    for i, (key, n) in enumerate(slots):
+        place = 0
+        for l, k in key:
+            for _ in range(k):
+                by_length.setdefault(l, []).append((i, place, n))
+                place += 1
+    filled: list[dict[int, list[tuple[int, int, int]]]] = [{} for _ in slots]
+    rest: dict[int, int] = {}
+    free: list[list[int]] = []
+    for l in sorted(set(histogram) | set(by_length), reverse=True):
+        # [filling, place, first container, containers]; the shortest slots are last.
+        free.extend([i, place, 0, n] for i, place, n in by_length.get(l, ()))
+        n = histogram.get(l, 0)
+        while n > 0 and free:
+            run = free[-1]
+            take = min(n, run[3])
+            filled[run[0]].setdefault(run[1], []).append((run[2], take, l))
+            n -= take
+            run[2] += take
+            run[3] -= take
+            if run[3] == 0:
+                free.pop()
+        if n > 0:
+            rest[l] = n
+    fillings: list[dict[int, int]] = []
+    times: list[int] = []
+    for (_, n), places in zip(slots, filled, strict=True):
+        cuts = sorted({0, n, *(at for runs in places.values() for first, k, _ in runs for at in (first, first + k))})
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            f: dict[int, int] = {}
+            for runs in places.values():
+                for first, k, l in runs:
+                    if first <= lo < first + k:
+                        f[l] = f.get(l, 0) + 1
+            fillings.append(f)
+            times.append(hi - lo)
+    return Plan(fillings, times), rest
+
+
+def best_fit(histogram: dict[int, int], capacity: int, begun: Plan | None = None) -> Plan:
+    """Best fit decreasing, with equal items and equally filled containers handled together; ``begun``: containers that have gaps."""
     room: list[tuple[int, int]] = []
     fillings: list[dict[int, int]] = []
     times: list[int] = []
@@ -79,8 +229,11 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Plan:
     def add(f: dict[int, int], n: int, space: int) -> None:
         fillings.append(f)
         times.append(n)
-        insort(room, (space, len(fillings) - 1))
+        if space > 0:
+            insort(room, (space, len(fillings) - 1))
 
+    for f, n in zip(begun.fillings, begun.times, strict=True) if begun else ():
+        add(f, n, capacity - sum(l * k for l, k in f.items()))
     for l in sorted(histogram, reverse=True):
         n = histogram[l]
         while n > 0:
@@ -104,57 +257,38 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Plan:
                 insort(room, (space, i))
             f[l] = f.get(l, 0) + each
             add(f, used, space - each * l)
-    kept = [(f, t) for f, t in zip(fillings, times, strict=True) if t]
+    kept = [(f, t) for f, t in zip(fillings, times, strict=True) if t and f]
     return Plan([f for f, _ in kept], [t for _, t in kept])
 
 
-def linear_program(histogram: dict[int, int], capacity: int, rounds: int, priced: int, rate: float, seed: int = 7) -> dict[tuple, float]:
-    """Fractional use of fillings, by multiplicative weights; no length is used beyond its supply.
+def emptied(plan: Plan, rest: dict[int, int], capacity: int, share: float) -> tuple[Plan, dict[int, int]]:
+    """The plan without its emptiest containers, up to ``share`` of them, and the rest with their items."""
+    left, rest, times = int(share * plan.containers), dict(rest), list(plan.times)
+    space = [capacity - sum(l * k for l, k in f.items()) for f in plan.fillings]
+    for i in sorted(range(len(times)), key=lambda i: -space[i]):
+        n = min(left, times[i]) if space[i] else 0
+        if not n:
+            break
+        times[i] -= n
+        left -= n
+        for l, k in plan.fillings[i].items():
+            rest[l] = rest.get(l, 0) + k * n
+    return Plan(plan.fillings, times), rest
 
-    Each round prices ``priced`` lengths drawn at random, so that a round stays cheap and all lengths get their turn.
-    """
-    rng = np.random.default_rng(seed)
-    lengths = np.array(sorted(histogram, reverse=True))
-    supply = np.array([histogram[l] for l in lengths.tolist()], float)
-    worth, covered = lengths / capacity, np.zeros(len(lengths))
-    index = {l: i for i, l in enumerate(lengths.tolist())}
-    use: dict[tuple, float] = {}
-    for _ in range(rounds):
-        some = np.sort(rng.choice(len(lengths), min(priced, len(lengths)), replace=False))
-        f = best_filling(lengths[some], worth[some], np.ceil(supply[some]).astype(np.int64), capacity)
-        if not f or sum(l * k for l, k in f.items()) < capacity * 0.995:
-            continue
-        step = rate * min(supply[index[l]] / k for l, k in f.items())
-        key = tuple(sorted(f.items()))
-        use[key] = use.get(key, 0.0) + step
-        for l, k in f.items():
-            covered[index[l]] += k * step / supply[index[l]]
-            worth[index[l]] *= 1 - 0.05 * k * step / supply[index[l]] / rate
-    scale = 1 / max(1.0, float(covered.max(initial=0)))
-    return {key: x * scale for key, x in use.items()}
 
+def configuration_plan(histogram: dict[int, int], capacity: int, most_emptied: float = 0.1) -> Plan:
+    """Fillings for all items of the histogram (length -> items, lengths 1..capacity): the rounded linear program, its gaps and rest filled best fit.
 
-def configuration_plan(histogram: dict[int, int], capacity: int, rounds: int = 1500, priced: int = 96, rate: float = 0.5) -> Plan:
-    """Fillings for all items of the histogram (length -> items, lengths 1..capacity).
-
-    The rounded linear program with its rest filled best fit decreasing, or best fit decreasing alone where that
-    needs fewer containers.
+    Of the emptiest containers of the program, a share of up to ``most_emptied`` is taken apart for the rest, whichever
+    of five shares needs the fewest containers.
     """
-    left = {l: n for l, n in histogram.items() if n > 0}
-    plain = best_fit(left, capacity)
-    fillings: list[dict[int, int]] = []
-    times: list[int] = []
-    if left:
-        for key, x in sorted(linear_program(left, capacity, rounds, priced, rate).items(), key=lambda kv: (-kv[1], kv[0])):
-            n = min(int(x), *(left[l] // k for l, k in key))
-            if n > 0:
-                fillings.append(dict(key))
-                times.append(n)
-                for l, k in key:
-                    left[l] -= n * k
-    rest = best_fit({l: n for l, n in left.items() if n}, capacity)
-    rounded = Plan(fillings + rest.fillings, times + rest.times)
-    return rounded if rounded.containers <= plain.containers else plain
+    wanted = {l: n for l, n in histogram.items() if n > 0}
+    plan, rest = rounded(linear_program(wanted, capacity), wanted)
+    tried = []
+    for i in range(5):
+        kept, loose = emptied(plan, rest, capacity, most_emptied * i / 4)
+        tried.append(best_fit(loose, capacity, kept))
+    return min(tried, key=lambda p: p.containers)
 
 
 def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = 2048) -> DataFrame:

@@ -154,20 +154,34 @@ def test_plan_holds_everything_and_wastes_little():
     assert P.configuration_plan({}, 10).containers == 0
 
 
-def test_knapsack_is_optimal():
+def test_greatest_worth_is_exact():
     r = random.Random(5)
-    for _ in range(60):
-        lengths = np.array(r.sample(range(1, 15), 4))
-        worth, supply = np.array([r.random() for _ in lengths]), np.array([r.randrange(1, 4) for _ in lengths])
-        got = P.best_filling(lengths, worth, supply, 20)
-        value = {int(l): w for l, w in zip(lengths, worth, strict=True)}
-
-        def best(i, room):
-            if i == len(lengths):
-                return 0.0
-            return max(k * worth[i] + best(i + 1, room - k * int(lengths[i])) for k in range(int(supply[i]) + 1) if k * lengths[i] <= room)
-
-        assert abs(sum(value[l] * k for l, k in got.items()) - best(0, 20)) < 1e-9
+    for _ in range(40):
+        worth = np.full(21, -np.inf)
+        for l in r.sample(range(1, 21), 5):
+            worth[l] = r.random()
+        best = [0.0] * 21
+        for c in range(1, 21):
+            best[c] = max([best[c - 1]] + [worth[l] + best[c - l] for l in range(1, c + 1)])
+        assert np.allclose(P.greatest_worth(worth, 20), best)
+
+
+def test_program_is_near_its_bound_and_survives_rounding():
+    # Many items over a third of the capacity: pairs that fit must be found, and some lengths stay alone.
+    r = np.random.default_rng(3)
+    h = {int(l): int(n) for l, n in zip(*np.unique(r.integers(35, 71, 4000), return_counts=True), strict=True)}
+    s = P.linear_program(h, 100, runs=3)
+    held = sum(l * n for l, n in h.items()) / 100
+    assert s.bound >= held and sum(s.use.values()) <= 1.02 * s.bound
+    plan, rest = P.rounded(s, h)
+    assert plan.containers <= 1.02 * s.bound and sum(rest.values()) <= 0.01 * sum(h.values())
+    got: dict = dict(rest)
+    for f, t in zip(plan.fillings, plan.times, strict=True):
+        assert sum(l * k for l, k in f.items()) <= 100
+        for l, k in f.items():
+            got[l] = got.get(l, 0) + k * t
+    assert {l: n for l, n in got.items() if n} == h
+    assert P.best_fit(rest, 100, plan).containers <= 1.02 * s.bound + 1
 
 
 def test_pack(spark):

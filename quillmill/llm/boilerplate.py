@@ -1,14 +1,14 @@
 """Problem 5: lines that recur in many documents of one source.
 
-Texts become lists of line keys (two hashes of the line's letters) in a narrow stage; only these, never the texts,
-are joined to the documents' sources. Distinct (source, key, document) rows need no further shuffle, since the join
-left each document in one place; documents are then counted with partial sums. Each line's count within its source
-is held against its count outside by a log-likelihood ratio; the Benjamini-Hochberg bound comes from a histogram of
-the ratios, so no global sort is needed.
+Texts become lists of line keys (two hashes of the line's letters) in one narrow stage, joined to the documents'
+sources and written once; neither texts nor lines are moved again. Each line's documents within its source are counted
+with partial sums. The lines in at least ``least_docs`` documents of a source are tested: their share of the source's
+documents is held against the share outside the source by a log-likelihood ratio, and, for lines that are as common
+elsewhere, against what an ordinary line of the source has. The bounds hold the false-discovery rate (Benjamini and
+Hochberg); they come from a histogram of the ratios, so no global sort is needed.
 
-Occurrences are found by joining back: lines in more documents than 1/200 of the chunk rows by broadcast (there are
-at most 200 times the mean number of lines a chunk, whatever the data's size), all others by shuffle, where then
-no key holds more than that share.
+Occurrences of the significant lines are found by joining back: by broadcast where there are few such lines, which is
+counted first, else by a shuffle in which each line is spread over several tasks.
 
 Lines end at LF; a line without letters, a null text and a document without source are no case. Repeated chunk rows
 count once and are found once.
@@ -18,10 +18,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT = 200
+from quillmill.llm.joins import having
+from quillmill.session import cut, written
+
+#: Ratios are counted in steps of one over this, up to ``MOST`` steps; this bounds what reaches the driver.
+STEPS, MOST = 4, 4000
 
 
 def line_key(c):
@@ -30,61 +34,70 @@ def line_key(c):
 
 
 def keyed_lines(chunks: DataFrame, sources: DataFrame, id_col: str = "chunk_id", doc_col: str = "doc_hash", text_col: str = "text") -> DataFrame:
-    """``(chunk_id, doc, line_no, key, h, source)`` of every line with letters; ``sources``: (doc, source), duplicates allowed."""
+    """``(chunk_id, line_no, source, doc, x, h)`` of every line with letters, written once; ``sources``: (doc, source), duplicates allowed."""
     keys = F.transform(F.split(F.col(text_col), "\n"), lambda x: line_key(x))
     listed = chunks.select(F.col(id_col).alias("chunk_id"), F.col(doc_col).alias("doc"), F.transform(keys, lambda k: F.when(k != "", F.struct(F.xxhash64(k).alias("x"), F.hash(k).alias("h")))).alias("keys")).filter(F.col("keys").isNotNull() & F.col("doc").isNotNull())
     known = sources.toDF("doc", "source").dropna().distinct()
-    out = listed.join(known, "doc").select("chunk_id", "doc", "source", F.posexplode("keys").alias("line_no", "k")).filter("k IS NOT NULL")
-    return out.select("chunk_id", "doc", "line_no", F.col("k.x").alias("line_x"), F.xxhash64("source", "k.x", "k.h").alias("key"), F.col("k.h").alias("h"), "source")
+    out = listed.join(known, "doc").select("chunk_id", "source", F.xxhash64("doc").alias("doc"), F.posexplode("keys").alias("line_no", "k")).filter("k IS NOT NULL")
+    return written(out.select("chunk_id", "line_no", "source", "doc", F.col("k.x").alias("x"), F.col("k.h").alias("h")))
 
 
 def line_counts(lines: DataFrame) -> DataFrame:
-    """``(key, h, docs)``: in how many documents of its source each line stands."""
-    return lines.select("doc", "key", "h").distinct().groupBy("key", "h").agg(F.count("*").alias("docs"))
+    """``(source, x, h, docs)``: in how many documents of its source each line stands."""
+    return lines.select("source", "x", "h", "doc").distinct().groupBy("source", "x", "h").agg(F.count("*").alias("docs"))
+
+
+def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
+    p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+    return k * F.log(p) + (n - k) * F.log(1 - p)
 
 
-def recurring(lines: DataFrame, n_chunks: int, least_docs: int = 6) -> DataFrame:
-    """The occurrences ``(chunk_id, line_no)`` of lines in at least ``least_docs`` documents of their source; ``n_chunks``: chunk rows."""
-    often = line_counts(lines).filter(F.col("docs") >= least_docs)
-    bound = max(least_docs, n_chunks // HOT)
-    places = lines.select("chunk_id", "line_no", "key", "h")
-    hot = F.broadcast(often.filter(F.col("docs") > bound).select("key", "h"))
-    rest = often.filter(F.col("docs") <= bound).select("key", "h")
-    found = places.join(hot, ["key", "h"], "left_semi").unionByName(places.join(hot, ["key", "h"], "left_anti").join(rest, ["key", "h"], "left_semi"))
-    return found.select("chunk_id", "line_no").distinct()
+def _bound(ratios: DataFrame, column: str, rate: float) -> float:
+    """The least log-likelihood ratio that holds the false-discovery rate, rounded to the stricter side."""
+    steps = ratios.groupBy(F.least(F.floor(F.col(column) * STEPS), F.lit(MOST)).alias("step")).agg(F.count("*").alias("n")).collect()
+    tests, passed, bound = sum(r.n for r in steps), 0, math.inf
+    for r in sorted(steps, key=lambda r: -r.step):
+        passed += r.n
+        if math.erfc(math.sqrt(r.step / STEPS / 2)) <= rate * passed / max(tests, 1):
+            bound = r.step / STEPS
+    return bound
 
 
 def line_statistics(lines: DataFrame, least_docs: int = 6, rate: float = 0.01) -> DataFrame:
-    """``(source, key, docs, outside, llr, significant)`` of lines in at least ``least_docs`` documents of a source.
+    """``(source, x, h, docs, all_docs, llr, beyond, excess, significant)`` of the lines in at least ``least_docs`` documents of a source.
 
-    ``significant``: the share within the source exceeds that outside, at a false-discovery rate of ``rate``, with
-    every (source, line) pair as one test. The bound is set on a histogram of ratios with steps of 0.25: it is the
-    exact one rounded to the stricter side.
+    ``llr`` compares the shares within and outside the source, ``beyond`` the line with the source's mean line; both are
+    0 where the share is not the greater one. ``excess``: significant by the first, ``significant``: by either.
     """
-    once = lines.select("source", "doc", "line_x", "h", "key").distinct()
-    inside = once.groupBy("source", "line_x", "h").agg(F.count("*").alias("docs"))
-    everywhere = inside.groupBy("line_x", "h").agg(F.sum("docs").alias("all_docs"))
-    sizes = lines.select("source", "doc").distinct().groupBy("source").agg(F.count("*").alias("source_docs"))
+    inside = cut(line_counts(lines))
+    sizes = lines.groupBy("source").agg(F.count_distinct("doc").alias("source_docs"))
+    mean = inside.groupBy("source").agg(F.sum("docs").alias("sum_docs"), F.count("*").alias("n_lines"))
     n_all = sizes.agg(F.sum("source_docs")).first()[0] or 0
-    s = inside.join(everywhere, ["line_x", "h"]).join(sizes, "source")
+    often = inside.filter(F.col("docs") >= least_docs)
+    # Partial sums first: a line has at most one row a source here.
+    everywhere = inside.join(often.select("x", "h").distinct(), ["x", "h"], "left_semi").groupBy("x", "h").agg(F.sum("docs").alias("all_docs"))
+    s = often.join(everywhere, ["x", "h"]).join(sizes.join(mean, "source"), "source")
     a, b = F.col("docs").cast("double"), (F.col("all_docs") - F.col("docs")).cast("double")
     n1, n2 = F.col("source_docs").cast("double"), F.lit(float(n_all)) - F.col("source_docs")
     p = (a + b) / F.lit(float(max(n_all, 1)))
-
-    def part(k, n, q):
-        q = F.least(F.greatest(q, F.lit(1e-12)), F.lit(1 - 1e-12))
-        return k * F.log(q) + (n - k) * F.log(1 - q)
-
     outside = F.when(n2 > 0, b / n2).otherwise(F.lit(0.0))
-    llr = F.greatest(F.lit(0.0), 2 * (part(a, n1, a / n1) + part(b, n2, outside) - part(a, n1, p) - part(b, n2, p)))
-    s = s.withColumn("llr", F.when(a / n1 > outside, llr).otherwise(F.lit(0.0)))
-    steps = s.groupBy(F.least(F.floor(F.col("llr") * 4), F.lit(4000)).alias("step")).agg(F.count("*").alias("n")).collect()
-    tests, passed, bound = sum(r.n for r in steps), 0, math.inf
-    for r in sorted(steps, key=lambda r: -r.step):
-        passed += r.n
-        if math.erfc(math.sqrt(r.step / 8)) <= rate * passed / max(tests, 1):
-            bound = r.step / 4
-    return s.filter(F.col("docs") >= least_docs).select("source", F.xxhash64("source", "line_x", "h").alias("key"), "h", "docs", F.col("all_docs").alias("all_docs"), "llr", (F.col("llr") >= F.lit(bound)).alias("significant"))
+    ordinary = F.when(F.col("n_lines") > 1, (F.col("sum_docs") - F.col("docs")) / (F.col("n_lines") - 1)).otherwise(F.lit(1.0)) / n1
+    llr = 2 * (_log_likelihood(a, n1, a / n1) + _log_likelihood(b, n2, outside) - _log_likelihood(a, n1, p) - _log_likelihood(b, n2, p))
+    beyond = 2 * (_log_likelihood(a, n1, a / n1) - _log_likelihood(a, n1, ordinary))
+    s = s.select(
+        "source", "x", "h", "docs", "all_docs",
+        F.when(a / n1 > outside, F.greatest(F.lit(0.0), llr)).otherwise(F.lit(0.0)).alias("llr"),
+        F.when(a / n1 > ordinary, F.greatest(F.lit(0.0), beyond)).otherwise(F.lit(0.0)).alias("beyond"),
+    )
+    s = cut(s)
+    excess = F.col("llr") >= F.lit(_bound(s, "llr", rate))
+    return s.withColumn("excess", excess).withColumn("significant", excess | (F.col("beyond") >= F.lit(_bound(s, "beyond", rate))))
+
+
+def recurring(lines: DataFrame, least_docs: int = 6, rate: float = 0.01) -> DataFrame:
+    """The occurrences ``(chunk_id, line_no)`` of the significant lines in at least ``least_docs`` documents of their source."""
+    found = line_statistics(lines, least_docs, rate).filter("significant").select("source", "x", "h")
+    return having(lines, found, ["source", "x", "h"], "chunk_id").select("chunk_id", "line_no").distinct()
 
 
 def without_lines(chunks: DataFrame, found: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:

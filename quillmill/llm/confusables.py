@@ -33,6 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.llm.joins import having
 from quillmill.session import cut
 
 #: Look-alike letters and their Latin prototypes (fixed values): Cyrillic, Greek, others.
@@ -276,18 +277,6 @@ def consistent(text: str | None) -> str | None:
     return WORD.sub(one_script, text)
 
 
-#: Sets of keys up to this number are broadcast, larger ones joined by shuffle in ``SALTS`` parts a key.
-FEW_KEYS, SALTS = 200_000, 16
-
-
-def having(rows: DataFrame, keys: DataFrame, on: list[str], by: str) -> DataFrame:
-    """The rows whose key is in ``keys`` (distinct): by broadcast where they are few, counted first, else by a shuffle in which ``by`` spreads each key over ``SALTS`` tasks."""
-    if keys.count() <= FEW_KEYS:
-        return rows.join(F.broadcast(keys), on, "left_semi")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return salted.join(keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "salt"], "left_semi").drop("salt")
-
-
 #: Runs of these are what spellings are separated by; other spaces may be stand-ins and are part of the spelling.
 APART = r"[ \n\r\t]+"
 ODD = r"[^\n\r\t -~]"

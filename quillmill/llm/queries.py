@@ -67,7 +67,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences of lines in at least 6 documents of the chunk's publisher."""
-    return boilerplate.recurring(_lines(spark, d), table(spark, d, "search_chunks").count())
+    return boilerplate.recurring(_lines(spark, d))
 
 
 def p5_lines(spark: SparkSession, d: str) -> DataFrame:

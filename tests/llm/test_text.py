@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm import confusables as C
 from quillmill.llm import encoding as T
+from quillmill.llm import joins as J
 from quillmill.llm import packing as P
 from quillmill.llm import repetition as R
 from quillmill.llm import splitting as S
@@ -79,9 +80,9 @@ def test_stand_ins_by_groups(spark):
 def test_hot_and_many_keys(spark, monkeypatch):
     rows = spark.range(3000).selectExpr("id AS row_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 50) END AS k")
     keys = spark.createDataFrame([("hot",), ("k7",)], "k string")
-    few = C.having(rows, keys, ["k"], "row_id").count()
-    monkeypatch.setattr(C, "FEW_KEYS", 0)
-    assert C.having(rows, keys, ["k"], "row_id").count() == few == rows.filter("k IN ('hot', 'k7')").count()
+    few = J.having(rows, keys, ["k"], "row_id").count()
+    monkeypatch.setattr(J, "FEW_KEYS", 0)
+    assert J.having(rows, keys, ["k"], "row_id").count() == few == rows.filter("k IN ('hot', 'k7')").count()
 
 
 def test_misread_words(spark):

@@ -16,7 +16,7 @@ from quillmill.session import table
 
 QUERIES = Registry()
 q = QUERIES.query
-NORM = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))"
+NORM = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 DOI = r"CASE WHEN regexp_matches({0}, '^10\.[0-9]{{4,9}}/\S') THEN lower(regexp_replace(regexp_extract({0}, '^10\.[0-9]{{4,9}}/[^\s\"<>]+'), '[.,;:''\"”’\]}}>*]+$', '')) END"
 BARE = r"regexp_replace(trim({0}), '^(?i)(?:https?://)?(?:dx\.)?(?:doi\.org/|doi\.[a-z]+/)?(?:doi\s*:?\s*)?', '')"
 
@@ -87,15 +87,9 @@ def _ref_records(spark, d):
 
 @q(f"""SELECT k AS match_key, count(*) AS records FROM (
          SELECT unnest(list_filter([ 'doi:' || {DOI.format('b')}, CASE WHEN {NORM.format('title')} <> '' THEN 'title:' || {NORM.format('title')} || '|' || CAST(year AS VARCHAR) END ], lambda x: x IS NOT NULL)) AS k
-         FROM (SELECT title, year, {BARE.format('doi')} AS b FROM extracted_refs WHERE regexp_full_match(coalesce(title, ''), '[\\x00-\\x7f]*'))) GROUP BY 1""")
+         FROM (SELECT title, year, {BARE.format('doi')} AS b FROM extracted_refs)) GROUP BY 1""")
 def record_keys(spark, d):
-    """Blocking keys of references with plain titles, and how many records share them."""
-    return _record_keys(table(spark, d, "extracted_refs").filter(F.coalesce("title", F.lit("")).rlike(r"^[\x00-\x7f]*$")))
-
-
-@q(None)
-def record_keys_all(spark, d):
-    """Blocking keys of all references, titles in any script, and how many records share them."""
+    """Blocking keys of all references, and how many records share them."""
     return _record_keys(table(spark, d, "extracted_refs"))
 
 
@@ -117,18 +111,11 @@ def reference_matches(spark, d):
     return E.match_references(side(table(spark, d, "source_refs"), "ref_id"), side(table(spark, d, "extracted_refs"), "ext_id"))
 
 
-@q(rf"""WITH t AS (SELECT surname AS doc, ref_id, {NORM.format('title')} AS k FROM source_refs WHERE title IS NOT NULL AND surname IS NOT NULL AND regexp_full_match(title, '[\x00-\x7f]*')),
-        e AS (SELECT surname AS doc, ext_id, {NORM.format('title')} AS k FROM extracted_refs WHERE title IS NOT NULL AND surname IS NOT NULL AND regexp_full_match(title, '[\x00-\x7f]*'))
+@q(rf"""WITH t AS (SELECT surname AS doc, ref_id, {NORM.format('title')} AS k FROM source_refs WHERE title IS NOT NULL AND surname IS NOT NULL),
+        e AS (SELECT surname AS doc, ext_id, {NORM.format('title')} AS k FROM extracted_refs WHERE title IS NOT NULL AND surname IS NOT NULL)
         SELECT a.doc, ref_id AS t_idx, ext_id AS e_idx FROM (SELECT *, row_number() OVER (PARTITION BY doc, k ORDER BY ref_id) AS n FROM t) a JOIN (SELECT *, row_number() OVER (PARTITION BY doc, k ORDER BY ext_id) AS n FROM e) b ON a.doc = b.doc AND a.k = b.k AND a.n = b.n""")
 def exact_title_pass(spark, d):
-    """One-to-one matches of equal plain titles under one surname."""
-    plain = F.col("title").rlike(r"^[\x00-\x7f]*$")
-    return _exact_titles(table(spark, d, "source_refs").filter(plain), table(spark, d, "extracted_refs").filter(plain))
-
-
-@q(None)
-def exact_title_pass_all(spark, d):
-    """One-to-one matches of equal titles, in any script, under one surname."""
+    """One-to-one matches of equal titles under one surname."""
     return _exact_titles(table(spark, d, "source_refs").filter("title IS NOT NULL"), table(spark, d, "extracted_refs").filter("title IS NOT NULL"))
 
 

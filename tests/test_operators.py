@@ -247,9 +247,9 @@ def test_titles_of_any_script_against_brute_force(spark, tmp_path):
     run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
     known = [(i, norm(t)) for i, t in enumerate(titles) if t is not None]
     want = Counter(f"title:{' '.join(w)}|2001" for _, w in known if w) + Counter(f"doi:10.1000/{i}" for i in range(len(titles)))
-    assert {r.match_key: r.records for r in run("record_keys_all")} == want
-    assert {(i, i) for i, w in known if w} <= {(r.t_idx, r.e_idx) for r in run("exact_title_pass_all")} <= {(i, i) for i, _ in known}
-    assert {r.ref_id: r.fts for r in run("search_query_text_all")} == {i: " OR ".join(f'"{w}"' for w in split(titles[i])) or None for i, _ in known}
+    assert {r.match_key: r.records for r in run("record_keys")} == want
+    assert {(i, i) for i, w in known if w} <= {(r.t_idx, r.e_idx) for r in run("exact_title_pass")} <= {(i, i) for i, _ in known}
+    assert {r.ref_id: r.fts for r in run("search_query_text")} == {i: " OR ".join(f'"{w}"' for w in split(titles[i])) or None for i, _ in known}
 
     def edits(a, b):
         line = list(range(len(b) + 1))
@@ -257,7 +257,7 @@ def test_titles_of_any_script_against_brute_force(spark, tmp_path):
             line = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j: min(left + 1, line[j] + 1, line[j - 1] + (c != b[j - 1])), initial=i))
         return line[-1]
 
-    similar = {r.doc_id: (r.jaccard, r.similarity) for r in run("title_similarity_all")}
+    similar = {r.doc_id: (r.jaccard, r.similarity) for r in run("title_similarity")}
     for i, (a, b) in enumerate(itertools.pairwise([norm(t or "") for t in titles])):
         x, y = " ".join(a), " ".join(b)
         jaccard = len({*a} & {*b}) / len({*a} | {*b}) if a and b else 0.0

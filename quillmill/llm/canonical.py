@@ -17,9 +17,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.session import cut, partitions
+from quillmill.session import cut, partitions, written
 
 NULL = "\0"
+#: Bytes of canonical records, as stored, that make one range.
+RANGE_BYTES = 64 << 20
+
+
+def ranges(canon: DataFrame) -> int:
+    """Number of ranges for stored records: by their size, and no fewer than the session's shuffle partitions."""
+    spark = canon.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = canon.inputFiles()
+    if not files:
+        return 1
+    folder = path(files[0]).getParent()
+    size = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    return max(partitions(spark), -(-size // RANGE_BYTES))
 
 
 def one_case(c: Column) -> Column:
@@ -49,11 +63,11 @@ def identifier(c: Column) -> Column:
 
 def canonical_runs(rows: DataFrame, id_col: str, keys: list[Column], n_parts: int | None = None) -> DataFrame:
     """``(first_id, id)`` of every row: the least id of the rows with equal keys, and the row's own."""
-    spark = rows.sparkSession
     names = [f"k{i}" for i in range(len(keys))]
-    canon = rows.select(F.col(id_col).cast("long").alias("id"), *[F.coalesce(k, F.lit(NULL)).alias(n) for k, n in zip(keys, names, strict=True)])
+    # Written, since the ranges are found by a first pass over the keys.
+    canon = written(rows.select(F.col(id_col).cast("long").alias("id"), *[F.coalesce(k, F.lit(NULL)).alias(n) for k, n in zip(keys, names, strict=True)]))
     order = [F.xxhash64(*names), *names, "id"]
-    ranged = canon.repartitionByRange(n_parts or partitions(spark), *order).sortWithinPartitions(*order)
+    ranged = canon.repartitionByRange(n_parts or ranges(canon), *order).sortWithinPartitions(*order)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

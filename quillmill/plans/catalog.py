@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillmill.plans import documents, records, relational, search
+from quillmill.plans import documents, fields, records, relational, search
 
 FLAGSHIP = "run_latest"
-_PARTS = (documents, records, relational, search)
+_PARTS = (documents, fields, records, relational, search)
 
 
 def queries() -> dict:

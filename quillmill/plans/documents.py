@@ -69,7 +69,15 @@ def line_predicates(spark, d):
     return x.groupBy(*x.columns).agg(F.count("*").alias("n"))
 
 
-@q(None)
+_CAPTION = r"\s*(?:[0-9]+(?:\.[0-9]+)*|[IVXL]+|[A-Z]\.?[0-9]+)\s*[.:|–—-]"
+_MATH = r"(len(list_filter(w, lambda v: regexp_matches(v, '^\p{L}{3,}[.,;:]?$'))) <= 2 AND regexp_matches(text, '[=<>≤≥≈≡∈∑∏∫√±×·∂∇∞→↦⊂⊆∪∩∀∃^_{}]|\p{Sm}'))"
+_ALGORITHM = r"(regexp_matches(t, '←|:=|▷|⊳') OR regexp_matches(t, '^(?i:(?:[0-9]+\s*[:.]?\s*)?(?:if\b.*\bthen|else\b|end\b|for\b.*\bdo|for each\b|foreach\b|while\b.*\bdo|repeat\b|until\b|return\b|require:?|ensure:?|input:|output:|procedure\b|function\b))'))"
+_KIND = f"CASE WHEN regexp_matches(t, '^(?:Fig(?:ure|\\.)?|FIG(?:URE|\\.)?|Abb(?:ildung|\\.)?){_CAPTION}') THEN 'figure' WHEN regexp_matches(t, '^(?:Tab(?:le|\\.)?|TAB(?:LE|\\.)?|Tabelle){_CAPTION}') THEN 'table' WHEN regexp_matches(t, '^(?:Algorithm|ALGORITHM){_CAPTION}') THEN 'algorithm' END"
+
+
+@q(rf"""SELECT CASE WHEN regexp_matches(t, '[0-9]$') AND len(regexp_extract_all(t, ' \.')) + len(regexp_extract_all(t, '\.\.')) + len(regexp_extract_all(t, '…')) >= 4 THEN 'toc' WHEN {_KIND} IS NOT NULL THEN 'caption'
+               WHEN regexp_matches(t, '^(?i:(?:abstract|introduction|references|bibliography|acknowledge?ments?|conclusions?|appendix)[^A-Za-z0-9_]*)$') OR (regexp_matches(t, '^(?:[0-9]+(?:\.[0-9]+)*|[IVX]+\.)\s+\p{{Lu}}') AND len(w) <= 12 AND NOT regexp_matches(t, '[.,;]\r?$')) THEN 'heading'
+               WHEN {_MATH.replace("text", "t")} THEN 'math' ELSE 'body' END AS role, count(*) AS n FROM (SELECT trim(text, ' ') AS t, {TOK.format("trim(text, ' ')")} AS w FROM {LINES}) GROUP BY 1""")
 def line_roles(spark, d):
     """Lines by role."""
     return cleanup.role_counts(_chunk_lines(spark, d))
@@ -235,7 +243,9 @@ def numeric_citations(spark, d):
     return x.select("doc_id", "m.offset", "m.text", citations.cited_numbers(F.col("m.inner"), F.lit(999)).alias("targets"))
 
 
-@q(None)
+@q(rf"""SELECT fragment, prose, algorithm, math, table_row, caption, count(*) AS n FROM (
+          SELECT (len(w) <= 4) OR (k >= 1 AND len(w) - k <= 1) OR (len(w) > 0 AND k * 10 >= len(w) * 6) AS fragment, len(w) >= 7 AND k * 10 <= len(w) * 3 AND caps <= 2 AND lw >= 2 AS prose, {_ALGORITHM} AS algorithm, {_MATH} AS math, len(w) <= 5 OR k >= 2 AS table_row, {_KIND} AS caption
+          FROM (SELECT *, len({NUMTOK.format('w')}) AS k, len(list_filter(w, lambda v: regexp_matches(v, '^\p{{Ll}}'))) AS lw, len(list_filter(w, lambda v: regexp_matches(v, '^\p{{Lu}}{{2,}}[^\p{{L}}]*$'))) AS caps FROM (SELECT text, trim(text, ' ') AS t, {TOK.format('text')} AS w FROM {LINES}))) GROUP BY ALL""")
 def region_flags(spark, d):
     """Counts of lines by the flags that region rules use."""
     x = regions.line_flags(_chunk_lines(spark, d).select("text"))

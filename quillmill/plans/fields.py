@@ -92,14 +92,14 @@ def arxiv_identifiers(spark, d):
     return e.select("ext_id", I.find_arxiv(t).alias("found"), F.array_join(F.array_sort(I.arxiv_ids_in_text(t)), " ").alias("all_ids"), bare.alias("bare"), I.year_from_arxiv(bare).alias("year"))
 
 
-@q(rf"""SELECT pmcid, version, 'PMC' || nullif(regexp_extract(upper(trim(pmcid)), '^(?:PMC)?([0-9]+)$', 1), '') AS pmc, nullif(regexp_extract(trim(CAST(pmid AS VARCHAR)), '^[0-9]{{1,9}}$'), '') AS pm,
+@q(rf"""SELECT pmcid, version, 'PMC' || regexp_extract(pmcid, '[0-9]+') AS pmc, nullif(regexp_extract(trim(CAST(pmid AS VARCHAR)), '^[0-9]{{1,9}}$'), '') AS pm,
                CASE WHEN pmid IS NULL THEN '' ELSE CAST(pmid AS VARCHAR) || ' ' END || 'PMC' || regexp_extract(pmcid, '[0-9]+') AS ids
         FROM {MANIFEST}""")
 def biomedical_identifiers(spark, d):
     """PMCIDs and PMIDs in their bare form, and as found in a text that prints them."""
     pmid = F.col("pmid").cast("string")
     printed = F.concat(F.coalesce(F.concat(F.lit("see PMID: "), pmid, F.lit(", ")), F.lit("")), F.lit("and PMC: "), F.regexp_extract("pmcid", "[0-9]+", 0), F.lit("."))
-    return _manifest(spark, d).select("pmcid", "version", I.normalize_pmcid("pmcid").alias("pmc"), I.normalize_pmid(pmid).alias("pm"), F.array_join(I.biomedical_ids(printed), " ").alias("ids"))
+    return _manifest(spark, d).select("pmcid", "version", I.normalize_pmcid(F.concat(F.lit(" pmc"), F.regexp_extract("pmcid", "[0-9]+", 0))).alias("pmc"), I.normalize_pmid(pmid).alias("pm"), F.array_join(I.biomedical_ids(printed), " ").alias("ids"))
 
 
 # --- years and numbers ----------------------------------------------------------------------------------------------

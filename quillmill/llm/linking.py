@@ -110,23 +110,24 @@ def parse_names(names: DataFrame, everything: dict[str, int], given: dict[str, i
     return names.mapInArrow(run, "row_id bigint, org boolean, anchor string, kind string, rest array<string>")
 
 
-def gram_classes(token: str) -> list[tuple[int, list[str]]]:
-    """(q, distinct q-grams) for each length class of a token; lengths that differ by one share a class."""
+def gram_classes(token: str, edits: int = 1) -> list[tuple[int, list[str]]]:
+    """(q, distinct q-grams) for each length class of a token; lengths that differ by so many edits share a class."""
     n = len(token)
     padded = f"^{token}$"
     out = []
-    for q, lo, hi in ((2, 1, 6), (3, 6, 9), (4, 9, 1 << 30)):
+    # With two edits the classes overlap by one more.
+    for q, lo, hi in ((2, 1, 5 + edits), (3, 6, 8 + edits), (4, 9, 1 << 30)):
         if lo <= n <= hi:
             out.append((q, sorted({padded[i : i + q] for i in range(max(1, len(padded) - q + 1))})))
     return out
 
 
-def prefix(grams: list[str], q: int, order: list[int]) -> list[str]:
-    """The rarest grams, so many that a token at one edit shares at least one of its own rarest with them.
+def prefix(grams: list[str], q: int, order: list[int], edits: int = 1) -> list[str]:
+    """The rarest grams, so many that a token at so many edits shares at least one of its own rarest with them.
 
     One edit, a swap of neighbours included, changes at most q + 1 grams.
     """
-    return sorted(grams, key=lambda g: (order[_cell(g)], g))[: q + 2]
+    return sorted(grams, key=lambda g: (order[_cell(g)], g))[: edits * (q + 1) + 1]
 
 
 def _cell(gram: str) -> int:
@@ -135,6 +136,13 @@ def _cell(gram: str) -> int:
     return xxhash.xxh32_intdigest(gram) % GRAM_CELLS
 
 
+def same_anchor(x: list[str], y: list[str], weight: dict[str, float], least: float) -> bool:
+    """Soft token similarity of two anchors; of different numbers of words they are compared run together."""
+    if len(x) != len(y):
+        x, y = ["".join(x)], ["".join(y)]
+    return soft_similarity(x, y, weight) >= least
+
+
 def soft_similarity(a: list[str], b: list[str], weight: dict[str, float] | None = None) -> float:
     """Share of the tokens' weight that has a partner, times the partners' likeness; rare tokens weigh more."""
 
@@ -164,34 +172,52 @@ def anchor_links(anchors: DataFrame, least_similarity: float = 0.75) -> DataFram
     order = [0] * GRAM_CELLS
     for r in anchors.select("anchor").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         order[r.cell] = r.n
-    total = sum(order) or 1
+    # How often each word of an anchor is written, over all rows; rare words weigh more.
+    words = anchors.select(F.explode(F.split("anchor", " ")).alias("w"), "n").groupBy(F.pmod(F.xxhash64("w"), F.lit(GRAM_CELLS)).cast("int").alias("cell")).agg(F.sum("n").alias("n"))
+    written_words = {r.cell: r.n for r in words.collect()}
+    total = sum(written_words.values()) or 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            rows = [(xxhash.xxh64_intdigest(f"{q}{g}") >> 1, a, n) for a, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for q, grams in gram_classes(a) for g in prefix(grams, q, order)]
+            rows = []
+            for a, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                # Every word may have an error of its own.
+                edits = 1 + ("\x20" in a)
+                for q, grams in gram_classes(a, edits):
+                    rows += [(xxhash.xxh64_intdigest(f"{q}{g}") >> 1, a, n) for g in prefix(grams, q, order, edits)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["gram", "a", "n"])
 
-    # Both sides of the join are the same frame under the same names, so that it is made and shuffled once.
-    sent = anchors.select("anchor", "n").mapInArrow(send, "gram bigint, a string, n bigint")
-    near, far = sent.alias("near"), sent.alias("far")
-    a, n, b, m = F.col("near.a"), F.col("near.n"), F.col("far.a"), F.col("far.n")
-    upward = (m > n) | ((m == n) & (b > a))
-    pairs = near.join(far, F.col("near.gram") == F.col("far.gram")).filter(upward & (F.abs(F.length(a) - F.length(b)) <= 1) & (F.levenshtein(a, b, 2) >= 0)).select(a.alias("a"), n.alias("n"), b.alias("b"), m.alias("m")).distinct()
+    # The key holds the length, so that a list of a gram holds words of one length only; the longer word of a pair
+    # goes to the lists of the lengths that it may have lost letters from.
+    sent = cut(anchors.select("anchor", "n").mapInArrow(send, "gram bigint, a string, n bigint"))
+    shorter = F.when(F.col("a").contains(" "), 2).otherwise(1)
+    near = sent.select("gram", "a", "n", F.explode(F.sequence(F.length("a") - shorter, F.length("a"))).alias("size"))
+    far = sent.select("gram", F.col("a").alias("b"), F.col("n").alias("m"), F.length("a").alias("size"))
+    most = F.when(F.col("a").contains(" ") & F.col("b").contains(" "), 4).otherwise(2)
+    close = near.join(far, ["gram", "size"]).filter((F.col("a") != F.col("b")) & (F.levenshtein("a", "b") <= most))
+    up = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") > F.col("a")))
+    pairs = close.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest("n", "m").alias("m")).distinct()
     # A particle run together with the surname, where the surname alone is there too.
     bare = anchors.select(F.col("anchor").alias("a"), "n", F.regexp_extract("anchor", f"^(?:{'|'.join(sorted(JOINED, key=len, reverse=True))})(.{{4,}})$", 1).alias("b")).filter("b <> ''")
     bare = bare.join(anchors.select(F.col("anchor").alias("b"), F.col("n").alias("m")), "b").filter("m >= n").select(F.col("a").alias("anchor"), F.col("b").alias("target"), "m")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        def weight(t: str) -> float:
+            h = xxhash.xxh64_intdigest(t.encode(), seed=42)
+            return math.log(1 + total / written_words.get((h - (1 << 64) if h >> 63 else h) % GRAM_CELLS, 1))
+
         for b in batches:
             keep = []
-            for x, n, y, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                w = {t: math.log(1 + total / n) for t in x.split()} | {t: math.log(1 + total / m) for t in y.split()}
-                keep.append(one_edit(x, y) and (x.count(" ") != y.count(" ") or soft_similarity(x.split(), y.split(), w) >= least_similarity))
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tx, ty = x.split(), y.split()
+                keep.append(same_anchor(tx, ty, {t: weight(t) for t in tx + ty}, least_similarity))
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    best = pairs.mapInArrow(verify, "a string, n bigint, b string, m bigint").select(F.col("a").alias("anchor"), F.col("b").alias("target"), "m")
+    best = pairs.mapInArrow(verify, "a string, b string, m bigint").select(F.col("a").alias("anchor"), F.col("b").alias("target"), "m")
     best = best.unionByName(bare).groupBy("anchor").agg(F.max_by("target", F.struct("m", "target")).alias("target"))
     # Counts never fall along a chain. Doubled until no target changes; chains have no more steps than there are links,
     # which ends it too where equally common spellings go round in a ring.

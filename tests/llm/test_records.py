@@ -49,6 +49,21 @@ def test_one_edit_and_prefix_filter():
     assert not one_edit("abc", "abcde") and not one_edit("abcd", "badc")
 
 
+def test_rare_words_weigh_more():
+    weight = {"north": 1.0, "bay": 6.0, "day": 6.0, "velstrom": 6.0, "velstrim": 6.0, "nroth": 6.0}
+    # One letter of three in the word that matters is too much, one of eight is not, and each word may have an error.
+    assert not linking.same_anchor(["north", "bay"], ["north", "day"], weight, 0.75)
+    assert linking.same_anchor(["north", "velstrom"], ["north", "velstrim"], weight, 0.75) and linking.same_anchor(["north", "velstrom"], ["nroth", "velstrim"], weight, 0.75)
+    assert linking.same_anchor(["vel", "strom"], ["velstrom"], weight, 0.75) and not linking.same_anchor(["kim"], ["kin"], {}, 0.75)
+
+
+def test_anchor_links(spark):
+    rows = [("velstrom", 50), ("velstrim", 2), ("velstrm", 1), ("north velstrom", 9), ("nroth velstrim", 1), ("other", 7), ("kim", 5), ("kimm", 1), ("v" * 5000, 3), ("v" * 4999, 1)]
+    got = {r.anchor: r.target for r in linking.anchor_links(spark.createDataFrame(rows, "anchor string, n bigint")).collect()}
+    assert got == {"velstrim": "velstrom", "velstrm": "velstrom", "nroth velstrim": "north velstrom", "kimm": "kim", "v" * 4999: "v" * 5000}
+    assert linking.anchor_links(spark.createDataFrame([], "anchor string, n bigint")).count() == 0
+
+
 def test_entities(spark):
     rows = [(1, "Northway", "Patricia", None), (3, "Northway", "P.", None), (5, None, None, "Pat Northway"), (7, "Nortway", "Patricia", None), (9, "Northway", "Robert", None), (11, "Bob", "Northway", None), (13, None, None, None), (15, " ", "", None), (17, "Southwell", "Patricia", None)]
     c = spark.createDataFrame([(*r, "x") for r in rows], "creator_id bigint, last_name string, first_name string, name string, row_id string")

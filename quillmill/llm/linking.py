@@ -195,8 +195,10 @@ def anchor_links(anchors: DataFrame, least_similarity: float = 0.75) -> DataFram
     shorter = F.when(F.col("a").contains(" "), 2).otherwise(1)
     near = sent.select("gram", "a", "n", F.explode(F.sequence(F.length("a") - shorter, F.length("a"))).alias("size"))
     far = sent.select("gram", F.col("a").alias("b"), F.col("n").alias("m"), F.length("a").alias("size"))
-    most = F.when(F.col("a").contains(" ") & F.col("b").contains(" "), 4).otherwise(2)
-    close = near.join(far, ["gram", "size"]).filter((F.col("a") != F.col("b")) & (F.levenshtein("a", "b") <= most))
+    several = F.col("a").contains(" ") & F.col("b").contains(" ")
+    # Bounded edit distances: the computation stops at the bound.
+    few = F.when(several, F.levenshtein("a", "b", 4) >= 0).otherwise(F.levenshtein("a", "b", 2) >= 0)
+    close = near.join(far, ["gram", "size"]).filter((F.col("a") != F.col("b")) & few)
     up = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") > F.col("a")))
     pairs = close.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest("n", "m").alias("m")).distinct()
     # A particle run together with the surname, where the surname alone is there too.

@@ -41,7 +41,7 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a source entry and an extracted entry of the same work."""
-    return matching.matches(table(spark, d, "source_refs"), table(spark, d, "extracted_refs"), with_confidence=False).select("ref_id", "ext_id")
+    return matching.matches(table(spark, d, "source_refs"), table(spark, d, "extracted_refs")).select("ref_id", "ext_id")
 
 
 def p3_matches(spark: SparkSession, d: str) -> DataFrame:

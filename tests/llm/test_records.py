@@ -138,7 +138,7 @@ def test_recall_against_all_pairs(spark, data):
     embedder, width = matching.fit(s, e, n), matching.key_width(n)
     read = matching.read_entries(s, "ref_id", matching.SOURCE, 0, embedder, width).unionByName(matching.read_entries(e, "ext_id", matching.EXTRACTED, 1, embedder, width))
     entries = cut(read.withColumn("fid", F.col("id") * 2 + F.col("side")))
-    pairs = lambda c: {(r.s, r.e) for r in matching.agreements(c, entries).filter(matching.same_work()).select("s", "e").collect()}
+    pairs = lambda c: {(r.s, r.e) for r in matching.agreements(c, entries).filter(matching.may_match() & matching.one_work() & (F.col("title") >= 0.9) & ((F.col("authors") >= 0.5) | F.col("close_author"))).select("s", "e").collect()}
     every = entries.filter("side = 0").select(F.col("fid").alias("s")).crossJoin(F.broadcast(entries.filter("side = 1").select(F.col("fid").alias("e")))).withColumn("cosine", F.lit(1.0).cast("float"))
     true = pairs(every)
     assert len(pairs(matching.candidates(entries)) & true) >= 0.95 * len(true) > 100

@@ -290,3 +290,8 @@ def inspect_page(url: Column, html: Column) -> Column:
 def live_cookies(cookies: Column, now: Column) -> Column:
     """Cookies that have not expired; 0 means for the session."""
     return F.filter(cookies, lambda c: (c["expires"] == 0) | (c["expires"] > now))
+
+
+def scholar_search_url(query: Column) -> Column:
+    """Address of a search for a text at the public scholar search."""
+    return F.concat(F.lit("https://scholar.google.com/scholar?q="), percent_encode(query))

@@ -298,3 +298,21 @@ def attach_links(entries: DataFrame, links: DataFrame, doc: str = "doc_hash") ->
     near = entries.join(l, [doc, "page"]).filter((F.col("top") >= F.col("ly") - F.col("half")) & F.col("lx").between(F.col("x0") - 12, F.col("x0") + F.col("page_width") * 0.6))
     each = near.groupBy(doc, "page", "lx", "ly", "uri").agg(F.min_by("idx", F.struct("top", "idx")).alias("idx"))
     return each.groupBy(doc, "idx").agg(F.max_by("uri", F.struct("ly", "uri")).alias("uri")).select(doc, "idx", I.normalize_doi("uri").alias("doi_link"))
+
+
+def pick_by_suffix(candidates: Column, suffix: Column) -> Column:
+    """The n-th of several sorted candidates for the n-th letter; all of them without a letter, or for one out of range."""
+    nth = F.ascii(F.lower(suffix)) - 96
+    return F.when((F.size(candidates) > 1) & F.lower(suffix).rlike("^[a-z]$") & (nth <= F.size(candidates)), F.array(F.get(F.array_sort(candidates), nth - 1))).otherwise(candidates)
+
+
+def narrow_by_coauthors(candidates: Column, authors: Column, second: Column, many: Column) -> Column:
+    """Candidates whose number of authors, and second surname if named, fits a citation; all of them if none does.
+
+    ``candidates``: indexes; ``authors``: surnames of each in the same order. A citation with ``many`` (et al.) has at
+    least three authors, one with a second name exactly two, one with a single name any number.
+    """
+    paired = F.arrays_zip(candidates.alias("c"), authors.alias("a"))
+    named = lambda x: F.lower(F.get(x["a"], F.lit(1))) == F.lower(second)
+    fits = F.filter(paired, lambda x: F.when(many, F.size(x["a"]) >= 3).when(second.isNotNull(), (F.size(x["a"]) == 2) & F.coalesce(named(x), F.lit(False))).otherwise(F.lit(True)))
+    return F.when(F.size(fits) > 0, F.transform(fits, lambda x: x["c"])).otherwise(candidates)

@@ -254,3 +254,16 @@ def percentile_by_rank(rows: DataFrame, group: str, value: str, p: float) -> Dat
     held = held.filter((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("n"))).select("g", "part", (F.col("at") - F.col("before")).alias("local"))
     ranked = ranged.join(held, ["g", "part"]).withColumn("i", F.row_number().over(Window.partitionBy("g", "part").orderBy("v")) - 1)
     return ranked.filter("i = local").select(F.col("g").alias(group), F.col("v").alias(value.rsplit(".", 1)[-1]))
+
+
+def order_duplicates(matches: DataFrame, groups: DataFrame, doc: str = "doc") -> DataFrame:
+    """Matches in which the entries of a duplicate group are given out in order: the n-th truth entry gets the n-th match.
+
+    ``matches``: (doc, t_idx, e_idx, ...); ``groups``: (doc, t_idx, g). Matches outside groups stay as they are.
+    """
+    x = matches.join(groups, [doc, "t_idx"], "left")
+    by = lambda c: F.row_number().over(Window.partitionBy(doc, "g").orderBy(c))
+    grouped = x.filter("g IS NOT NULL")
+    truth = grouped.select(doc, "g", "t_idx", by("t_idx").alias("n"))
+    ordered = grouped.drop("t_idx").withColumn("n", by("e_idx")).join(truth, [doc, "g", "n"])
+    return ordered.select(*matches.columns).unionByName(x.filter("g IS NULL").select(*matches.columns))

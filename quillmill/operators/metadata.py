@@ -119,3 +119,29 @@ def merge_metadata(rows: DataFrame) -> DataFrame:
     authors = F.when(~author_is_generic("info_author"), split_author_names("info_author"))
     pairs = F.array_compact(F.array(*[F.when(s.isNotNull(), F.struct(F.lit(n).alias("key"), s.alias("value"))) for n, s in (("title", t_from), ("doi", d_from), ("year", y_from))]))
     return rows.select("doc_hash", title.alias("title"), authors.alias("authors"), doi.alias("doi"), year.alias("year"), F.map_from_entries(pairs).alias("provenance"))
+
+
+def page1_year(lines: DataFrame, doc: str = "doc_hash") -> DataFrame:
+    """``(doc, year)``: the first year of page 1, lines with a word of publication before others."""
+    x = lines.filter("page = 1").withColumn("year", I.first_year("text")).filter("year IS NOT NULL")
+    dated = F.col("text").rlike(r"(?i)publish|accept|received|copyright|©|\bdate\b|\bvol(?:ume|\.)")
+    return x.groupBy(doc).agg(F.min_by("year", F.struct((~dated).alias("other"), "line_idx")).alias("year"))
+
+
+def page1_keywords(lines: DataFrame, doc: str = "doc_hash") -> DataFrame:
+    """``(doc, keywords)``: those on the first line of page 1 that opens with their heading, or on the next one if it holds nothing else."""
+    w = Window.partitionBy(doc).orderBy("line_idx")
+    x = lines.filter("page = 1").withColumn("next", F.lead("text").over(w)).filter(F.col("text").rlike(r"^(?i)\s*(?:key\s?words?|index terms)\b"))
+    x = x.withColumn("n", F.row_number().over(w)).filter("n = 1")
+    own = split_keywords("text")
+    alone = F.col("text").rlike(r"^(?i)\s*(?:key\s?words?|index terms)\s*[:—–-]?\s*$")
+    return x.select(doc, F.when(alone, split_keywords(F.coalesce("next", F.lit("")))).otherwise(own).alias("keywords")).filter(F.size("keywords") > 0)
+
+
+def page1_publisher_doi(lines: DataFrame, doc: str = "doc_hash") -> DataFrame:
+    """``(doc, doi, source)``: a DOI of page 1 that a publisher printed: in a header or footer, else with its label; never a preprint's."""
+    x = lines.filter("page = 1").withColumn("doi", F.lower(I.find_doi("text"))).filter(F.col("doi").isNotNull() & I.arxiv_from_doi("doi").isNull())
+    edge = (F.col("y1") >= F.col("page_height") * 0.9) | (F.col("y0") <= F.col("page_height") * 0.1)
+    source = F.when(edge, "furniture").when(F.col("text").rlike(r"(?i)doi\s*[:.]|doi\.org"), "label")
+    x = x.withColumn("source", source).filter("source IS NOT NULL")
+    return x.groupBy(doc).agg(F.min_by(F.struct("doi", "source"), F.struct("source", "line_idx")).alias("b")).select(doc, "b.doi", "b.source")

@@ -287,3 +287,10 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def index_stats(chunks: DataFrame, vectors: DataFrame, doc: str = "doc_hash") -> DataFrame:
     """One row: documents, chunks, vectors."""
     return chunks.agg(F.count_distinct(doc).alias("documents"), F.count("*").alias("chunks")).crossJoin(vectors.agg(F.count("*").alias("vectors")))
+
+
+def check_embedder(index: DataFrame, name: str, dim: int) -> None:
+    """An error if an index (embedder, dim) was made by another embedder or with other dimensions; an empty one fits all."""
+    other = index.filter((F.col("embedder") != name) | (F.col("dim") != dim)).select("embedder", "dim").limit(1).collect()
+    if other:
+        raise ValueError(f"the index holds vectors of {other[0].embedder} with {other[0].dim} dimensions, not of {name} with {dim}")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillmill.plans import documents, exchange, fields, records, relational, search
+from quillmill.plans import documents, exchange, fields, records, relational, scans, search
 
 FLAGSHIP = "run_latest"
-_PARTS = (documents, exchange, fields, records, relational, search)
+_PARTS = (documents, exchange, fields, records, relational, scans, search)
 
 
 def queries() -> dict:

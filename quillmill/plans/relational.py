@@ -38,10 +38,11 @@ def customer_orders(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"), F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total"))
 
 
-@q("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
-def customers_without_orders(spark, d):
+@q("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""")
+def customers_without_pending(spark, d):
     """Anti join."""
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    pending = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").join(pending, "c_custkey", "left_anti")
 
 
 @q("""SELECT DISTINCT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")
@@ -72,10 +73,10 @@ def small_bulk_parts(spark, d):
     return table(spark, d, "part").filter("p_size < 10").select("p_partkey").intersect(table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")))
 
 
-@q("""SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'""")
-def parts_never_returned(spark, d):
+@q("""SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40""")
+def parts_not_returned_in_bulk(spark, d):
     """Set difference."""
-    return table(spark, d, "part").select("p_partkey").subtract(table(spark, d, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_partkey").alias("p_partkey")))
+    return table(spark, d, "part").select("p_partkey").subtract(table(spark, d, "lineitem").filter("l_returnflag = 'A' AND l_quantity > 40").select(F.col("l_partkey").alias("p_partkey")))
 
 
 @q("""SELECT time_bucket(INTERVAL '60 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")

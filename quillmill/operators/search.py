@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as X
 from quillmill.functions import vectors as V
-from quillmill.session import batch_udf, cut
+from quillmill.session import batch_udf, cut, written
 
 #: Fusion constant, window and overlap in words, least new words of a snapped window, snippet words.
 RRF_K, WINDOW, OVERLAP, SNAP, SNIPPET = 60, 200, 40, 80, 30
@@ -117,7 +117,8 @@ def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_
     import numpy as np
     from pyspark.sql.pandas.types import to_arrow_type
 
-    sized = chunks.select(key, X.fts_terms(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
+    # Taken apart once, however many blocks of queries there are.
+    sized = written(chunks.select(key, X.fts_terms(F.coalesce(F.col(text), F.lit(""))).alias("ts")))
     arrow = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(chunks.schema[key].dataType)
     schema = f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(chunks.dtypes)[key]}, score double"
     n, avg_len = sized.agg(F.count("*"), F.avg(F.size("ts"))).first()
@@ -211,8 +212,12 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "ve
                 m = np.array(b.column(1).to_pylist(), np.float64)
                 m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
                 s = q @ m.T
-                top = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
-                best.append(pd.DataFrame({"q": np.repeat(np.arange(len(ids)), top.shape[1]), "key": keys[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
+                if s.shape[1] > k:
+                    # All that reach the k-th best score here; ties are settled by key below.
+                    row, at = np.nonzero(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None])
+                else:
+                    row, at = np.nonzero(np.ones(s.shape, bool))
+                best.append(pd.DataFrame({"q": row, "key": keys[at], "score": s[row, at]}))
                 if len(best) > 8:
                     best = [pd.concat(best).sort_values(["q", "score", "key"], ascending=[True, False, True]).groupby("q").head(k)]
             if best:
@@ -251,7 +256,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int, alpha: float =
     """Lexical and hashed-vector search fused; ``alpha`` is the vectors' weight. k = 0 gives nothing."""
     depth = max(4 * k, 50)
     lexical = bm25_top_k(chunks, queries, depth, key, text)
-    vectors = chunks.select(key, V.hash_embedding(F.coalesce(F.col(text), F.lit(""))).alias("embedding"))
+    vectors = written(chunks.select(key, V.hash_embedding(F.coalesce(F.col(text), F.lit(""))).alias("embedding")))
     semantic = vector_search(vectors, queries.select("query_id", V.hash_embedding("query").alias("query_vec")), depth, key, "embedding")
     fused = reciprocal_rank_fusion([(1 - alpha, lexical), (alpha, semantic)], key)
     return top_k(fused, k, key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions import identifiers as I
 from quillmill.operators import citations, cleanup, lines, metadata
 from quillmill.operators import search as S
 from quillmill.session import cut
@@ -33,5 +34,7 @@ def extract(files: DataFrame, backend: str = "native") -> dict[str, DataFrame]:
     title, doi, abstract = metadata.title_block(page_lines), metadata.page1_doi(page_lines), metadata.page1_abstract(body)
     info = pages.filter("page = 1").select("doc_hash", *(F.try_element_at("info", F.lit(k)).alias(a) for k, a in (("Title", "info_title"), ("Author", "info_author"), ("CreationDate", "info_date"), ("Subject", "info_subject"))))
     meta = info.join(title.withColumnRenamed("title", "page_title"), "doc_hash", "left").join(doi.select("doc_hash", F.col("doi").alias("page_doi")), "doc_hash", "left")
-    meta = metadata.merge_metadata(meta.withColumn("page_year", F.lit(None).cast("int")).withColumn("arxiv_id", F.lit(None).cast("string"))).join(abstract, "doc_hash", "left")
+    year = metadata.page1_year(page_lines).withColumnRenamed("year", "page_year")
+    arxiv = page_lines.filter("page = 1").groupBy("doc_hash").agg(F.min_by(I.find_arxiv("text"), F.when(I.find_arxiv("text").isNotNull(), F.col("line_idx"))).alias("arxiv_id"))
+    meta = metadata.merge_metadata(meta.join(year, "doc_hash", "left").join(arxiv, "doc_hash", "left")).join(abstract, "doc_hash", "left")
     return {"pages": pages, "lines": page_lines, "furniture": furniture, "roles": roles, "texts": texts, "chunks": S.chunk_pages(texts), "references": references, "markers": markers, "metadata": meta}

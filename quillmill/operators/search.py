@@ -299,3 +299,82 @@ def check_embedder(index: DataFrame, name: str, dim: int) -> None:
     other = index.filter((F.col("embedder") != name) | (F.col("dim") != dim)).select("embedder", "dim").limit(1).collect()
     if other:
         raise ValueError(f"the index holds vectors of {other[0].embedder} with {other[0].dim} dimensions, not of {name} with {dim}")
+
+
+#: Vectors that an index's centres are fitted on, at most; centres, at most; rows of one list in one group, at most.
+FITTED, CENTRES, LIST_ROWS = 20_000, 1024, 20_000
+
+
+def fit_index(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", rounds: int = 8, recall: float = 0.995, seed: int = 3) -> tuple[np.ndarray, int]:
+    """Unit centres of a vector index and how many lists a query must look into.
+
+    The centres, about the square root of the rows' number, are found by spherical k-means on a random sample of at
+    most about ``FITTED`` rows. Of up to 200 of them, the ten nearest others are known, and the number of lists is the
+    one that holds a share ``recall`` of these; vectors without clusters need nearly all lists.
+    """
+    import numpy as np
+
+    n = vectors.count()
+    share = int(min(1.0, FITTED / max(n, 1)) * (1 << 62))
+    sample = vectors.filter(F.xxhash64(key).bitwiseAND(F.lit((1 << 62) - 1)) < share).select(vec).limit(2 * FITTED).collect()
+    x = np.array([r[0] for r in sample], np.float64)
+    if not len(x):
+        return np.zeros((0, 0)), 0
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), min(len(x), CENTRES, max(1, round(n**0.5))), replace=False)]
+    for _ in range(rounds):
+        at = (x @ c.T).argmax(1)
+        total = np.zeros_like(c)
+        np.add.at(total, at, x)
+        filled = np.linalg.norm(total, axis=1) > 1e-12
+        c[filled] = total[filled] / np.linalg.norm(total[filled], axis=1, keepdims=True)
+    asked = rng.choice(len(x), min(200, len(x)), replace=False)
+    nearest = np.argsort(-(x[asked] @ x.T), axis=1)[:, :11]
+    home = (x @ c.T).argmax(1)
+    place = np.argsort(np.argsort(-(x[asked] @ c.T), axis=1), axis=1)
+    ranks = np.take_along_axis(place, home[nearest], axis=1)
+    return c, int(np.quantile(ranks, recall, method="higher")) + 1
+
+
+def index_search(vectors: DataFrame, queries: DataFrame, k: int, index: tuple[np.ndarray, int], key: str = "vec_id", vec: str = "embedding", query_key: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
+    """``(query_id, key, score, rank)``: approximate search by inverted lists. Every row is in the list of its nearest centre; a query looks into so many of the nearest lists as ``fit_index`` found, exactly.
+
+    Lists are split into groups of about ``LIST_ROWS``, so that a centre that many rows share is no single task. Zero
+    vectors score 0 where they are met.
+    """
+    import numpy as np
+
+    centres, probe = index
+    if not centres.size:
+        return vectors.limit(0).select(F.lit(None).cast(dict(queries.dtypes)[query_key]).alias(query_key), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+
+    def lists(most: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                near = np.argsort(-(np.array(b.column(1).to_pylist(), np.float64) @ centres.T), axis=1, kind="stable")[:, :most]
+                rows = np.repeat(np.arange(b.num_rows), near.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows))], names=["list", "id", "v"])
+
+        return run
+
+    kinds = dict(queries.dtypes)[query_key], dict(vectors.dtypes)[key]
+    held = written(vectors.select(key, F.col(vec).cast("array<double>")).mapInArrow(lists(1), f"list int, id {kinds[1]}, v array<double>"))
+    # At most one row a centre.
+    sizes = held.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts"))
+    placed = held.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("list", "part", "id", "v")
+    asked = queries.select(query_key, F.col(query_vec).cast("array<double>")).mapInArrow(lists(probe), f"list int, id {kinds[0]}, v array<double>")
+    asked = asked.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v")
+
+    def search(group: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({query_key: a["id"][:0], key: b["id"][:0], "score": pd.Series([], dtype=float)})
+        q, m = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        s = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)) @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)).T
+        row, at = np.nonzero(s >= np.partition(s, max(s.shape[1] - k, 0), axis=1)[:, max(s.shape[1] - k, 0), None])
+        return pd.DataFrame({query_key: a["id"].to_numpy()[row], key: b["id"].to_numpy()[at], "score": s[row, at]})
+
+    scored = asked.groupBy("list", "part").cogroup(placed.groupBy("list", "part")).applyInPandas(search, f"{query_key} {kinds[0]}, {key} {kinds[1]}, score double")
+    return top_k(scored, k, key, partition=query_key)

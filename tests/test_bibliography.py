@@ -65,3 +65,18 @@ def test_embedder_of_an_index(spark):
     with pytest.raises(ValueError, match="256"):
         S.check_embedder(index, "hash", 128)
     assert spark.range(1).select(W.scholar_search_url(F.lit("a b&c"))).first()[0].endswith("?q=a%20b%26c")
+
+
+def test_vector_index(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    centre = r.standard_normal((12, 16))
+    rows = [(i, (centre[i % 12] + 0.3 * r.standard_normal(16)).tolist()) for i in range(600)] + [(1000 + i, centre[0].tolist()) for i in range(300)] + [(5000, [0.0] * 16)]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("list", F.lit("clash"))
+    queries = v.filter("vec_id % 20 = 0 AND vec_id < 1000").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    monkeypatch.setattr(S, "LIST_ROWS", 50)
+    exact = {(x.query_id, x.vec_id) for x in S.vector_search(v, queries, 10).collect()}
+    found = {(x.query_id, x.vec_id) for x in S.index_search(v, queries, 10, S.fit_index(v)).collect()}
+    assert len(exact & found) >= 0.9 * len(exact) == 0.9 * 300
+    assert S.index_search(v.limit(0), queries, 3, S.fit_index(v.limit(0))).count() == 0 and S.index_search(v, queries.limit(0), 3, S.fit_index(v)).count() == 0

@@ -107,6 +107,45 @@ def test_skip_gram_and_walks():
     assert matching.skip_gram([]) == {} and matching.walks([]) == []
 
 
+def test_vectors_and_calibration_use_every_row(spark):
+    import numpy as np
+
+    # More rows than a sample of 8,000 holds; each of 3,000 words of its own stands in four titles.
+    n = 12_000
+    own = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}q" for i in range(n // 4)]
+    s = spark.createDataFrame([(i, None, [f"Ann {own[-1 - i % len(own)]}"], None, f"common {own[i % len(own)]}", 2001 + i % 3, None) for i in range(n)], "ref_id bigint, text string, authors array<string>, surname string, title string, year int, doi string").repartition(3)
+    e = spark.createDataFrame([], "ext_id bigint, raw string, authors array<string>, surname string, title string, year int, venue string, volume string, issue string, pages string, doi string")
+    got = matching.fit(s, e, n)
+    cells = [matching.cell_of(w, matching.LEARNED) for w in (*own, "common", "y2001")]
+    assert np.linalg.norm(got.beside[cells], axis=1).min() > 0 and np.linalg.norm(got.beside, axis=1).max() < 1.001
+    raw = matching.Embedder(got.beside, got.counts)
+    titles = raw.lists([matching.title_tokens(f"common {w}") for w in own], 0)
+    assert np.allclose(got.means[0], titles.mean(0), atol=1e-4)
+    assert np.allclose(got.means[1], raw.lists([[w] for w in own], 1).mean(0), atol=1e-4)
+
+    # A walk through each token of each entry, to another holder of the token where there is one.
+    entries = spark.createDataFrame([("red fox", "lee", 2001, ""), ("red hen", "", None, ""), ("", "", None, "jot")], "words string, surnames string, year int, venue string")
+    cell = {matching.cell_of(t, matching.LEARNED): t for t in ("red", "fox", "hen", "lee", "y2001", "vjot")}
+    met = [tuple(cell[x] for x in r) for r in matching.met_walks(entries).collect()]
+    first, second = {"red", "fox", "lee", "y2001"}, {"red", "hen"}
+    assert sorted(k for _, k, _ in met) == ["fox", "hen", "lee", "red", "red", "vjot", "y2001"] and ("vjot", "vjot", "vjot") in met
+    through = [(a, b) for a, k, b in met if k == "red"]
+    assert through[0] == through[1][::-1] and any(a in first and b in second for a, b in through)
+    assert all(a == b for a, k, b in met if k != "red")
+
+    # The weights are those of all 45,000 pairs with two DOIs.
+    rng = np.random.default_rng(3)
+    x, names = np.column_stack([np.ones(45_000), rng.standard_normal((45_000, 2))]), ["one", "cosine", "people"]
+    y = rng.random(len(x)) < 1 / (1 + np.exp(-(x @ [0.3, 2.0, -1.0])))
+    w = prior = np.array([matching.PRIOR[k] for k in names])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (p - y) + 0.1 * (w - prior)), -2, 2)
+    pairs = spark.createDataFrame([(i, i, bool(y[i]) if i < len(x) else None, [float(v) for v in x[i % len(x)]]) for i in range(len(x) + 9)], "s bigint, e bigint, doi boolean, evidence array<double>")
+    assert np.allclose(matching.calibration(pairs, names), w, atol=1e-3)
+    assert np.allclose(matching.calibration(pairs.filter("doi is null"), names), prior)
+
+
 def refs(spark, n=60):
     r = random.Random(9)
     word = lambda: "".join(r.choice("bcdfghklmnprstvz") + r.choice("aeiou") for _ in range(4))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import citations as C
@@ -184,6 +185,22 @@ def test_search(spark):
     assert S.reciprocal_rank_fusion([(0.0, S.vector_search(v, qv, 3))], "vec_id").count() == 0
 
 
+def test_lexical_search_in_many_blocks_and_shards(spark, monkeypatch):
+    """Queries beyond a block do not each read the chunks in a branch of their own; scores are not rounded."""
+    for name, n in (("QUERY_BLOCK", 8), ("SHARD_ROWS", 32), ("DENSE", 4), ("CANDIDATES", 16)):
+        monkeypatch.setattr(S, name, n)
+    r = random.Random(9)
+    c = spark.createDataFrame([(f"k{i}", " ".join(r.choices("abcdefghijklmnopqrstuvwxyz", weights=[2 ** (k / 2) for k in range(26)], k=r.randrange(30))) or None) for i in range(300)], "chunk_id string, text string")
+    qs = spark.createDataFrame([(i, " ".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(7)))) for i in range(60)], "query_id int, query string")
+    for k in (3, 400):
+        got = S.bm25_top_k(c, qs, k)
+        want = S.top_k(S.bm25(c, qs).withColumn("by", F.round("score", 9)), k, "chunk_id", by="by").select("query_id", "chunk_id", "score", "rank").collect()
+        assert {(x.query_id, x.chunk_id, x["rank"]): x.score for x in got.collect()} == pytest.approx({(x.query_id, x.chunk_id, x["rank"]): x.score for x in want}, abs=1e-12)
+    # One read by each task that shares out the shards, however many blocks of queries.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= spark.sparkContext.defaultParallelism
+    assert S.bm25_top_k(c.limit(0), qs, 3).count() == 0 == S.bm25_top_k(c, qs.limit(0), 3).count()
+
+
 def test_windows():
     words = [f"w{i}" for i in range(450)]
     assert S.window_spans(words) == [(0, 200), (160, 360), (320, 450)]

@@ -201,6 +201,17 @@ def test_lexical_search_in_many_blocks_and_shards(spark, monkeypatch):
     assert S.bm25_top_k(c.limit(0), qs, 3).count() == 0 == S.bm25_top_k(c, qs.limit(0), 3).count()
 
 
+def test_fused_search_is_run_once(spark, data):
+    from pyspark.sql import functions as F
+
+    from quillmill.plans import search as P
+
+    d = P.search_fused(spark, data)
+    assert "MapInArrow" not in d._jdf.queryExecution().optimizedPlan().toString()
+    best = d.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("m"))
+    assert best.filter("n <> m OR n > 50").count() == 0 < best.count()
+
+
 def test_windows():
     words = [f"w{i}" for i in range(450)]
     assert S.window_spans(words) == [(0, 200), (160, 360), (320, 450)]

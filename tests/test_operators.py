@@ -212,6 +212,29 @@ def test_fused_search_is_run_once(spark, data):
     assert best.filter("n <> m OR n > 50").count() == 0 < best.count()
 
 
+def test_vector_search_in_many_blocks_and_shards(spark, monkeypatch):
+    """Ties within the error of a sum go by key; queries beyond a block do not each read the vectors."""
+    import numpy as np
+
+    for name, n in (("QUERY_BLOCK", 8), ("SHARD_ROWS", 32), ("CANDIDATES", 16)):
+        monkeypatch.setattr(S, name, n)
+    r = np.random.default_rng(4)
+    # The same directions in other lengths: equal but for rounding.
+    way = r.standard_normal((40, 7))
+    rows = [(i, (way[i % 40] * (1 + 0.37 * i)).tolist()) for i in range(300)] + [(900, [0.0] * 7)]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    qs = spark.createDataFrame([(i, way[i].tolist()) for i in range(40)], "query_id int, query_vec array<double>")
+    got = S.vector_search(v, qs, 12)
+    m = np.array([x for _, x in rows])
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+    by = np.round(way / np.linalg.norm(way, axis=1, keepdims=True) @ m.T, 9)
+    ids = np.array([i for i, _ in rows])
+    want = {(q, int(ids[x]), n + 1) for q in range(40) for n, x in enumerate(np.lexsort((ids, -by[q]))[:12])}
+    assert {(x.query_id, x.vec_id, x["rank"]) for x in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= spark.sparkContext.defaultParallelism
+    assert S.vector_search(v.limit(0), qs, 3).count() == 0
+
+
 def test_windows():
     words = [f"w{i}" for i in range(450)]
     assert S.window_spans(words) == [(0, 200), (160, 360), (320, 450)]
